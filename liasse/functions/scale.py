@@ -59,9 +59,31 @@ def ordered_scan(
     )
 
 
-def ordered_rank(df: DataFrame, keys: list[str], block: Column, order: list[Column | str], name: str) -> DataFrame:
-    """``row_number`` per key over blocks of the order."""
-    return ordered_scan(df, keys, block, order, sums={name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
+def ordered_rank(
+    df: DataFrame, keys: list[str], block: Column | list[Column], order: list[Column | str], name: str
+) -> DataFrame:
+    """``row_number`` per key, over one or more nested levels of blocks.
+
+    Rows are ranked inside the finest block; the counts of the blocks before
+    it, level by level, give the offset.  Levels must grow with the order.
+    """
+    levels = block if isinstance(block, list) else [block]
+    names = [f"__b{i}" for i in range(len(levels))]
+    rows = df.withColumns(dict(zip(names, levels)))
+    groups = rows.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = groups.withColumn("__offset", F.lit(0))
+    for depth in range(len(names), 0, -1):
+        own, parent = names[:depth], names[: depth - 1]
+        before = Window.partitionBy(*keys, *parent).orderBy(own[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        level = groups.groupBy(*keys, *own).agg(F.sum("__n").alias("__m")) if depth < len(names) else (
+            groups.withColumnRenamed("__n", "__m"))
+        level = level.select(*keys, *own, F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__o"))
+        offsets = offsets.join(level, [*keys, *own]).withColumn("__offset", F.col("__offset") + F.col("__o")).drop("__o")
+    inside = Window.partitionBy(*keys, *names).orderBy(*order)
+    local = rows.withColumn("__r", F.row_number().over(inside))
+    return local.join(offsets.drop("__n"), [*keys, *names]).select(
+        *df.columns, (F.col("__r") + F.col("__offset")).cast("int").alias(name)
+    )
 
 
 def page_block(column: str = "numero_global") -> Column:
