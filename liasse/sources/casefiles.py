@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PAGES_PER_CASE = 18
 EVENTS_PER_CASE = 24
@@ -266,6 +266,17 @@ SELECT dossier_id, 'P' || CAST(i + 1 AS STRING) AS personne_id,
   (i = 1 AND k % 4 = 0) OR (i = 0 AND k % 4 = 1) AS est_client
 FROM cf_event_base WHERE i < 4"""
 
+VIEWS["cf_spellings"] = f"""
+SELECT dossier_id, i + 1 AS personne_id,
+  {_pick("Yanis DERRADJI,DERRADIJI Yanis,Yanis DERRADII,Karim DERRADJI,Lucas MARTIN,Lucas MARTINEZ,Paul MARTIN,Élodie BASTIER,Elodie BASTIEN,Julien MORVANNEC,MORVANEC Julien", "u * 7 + i")} AS nom,
+  CASE i % 3 WHEN 0 THEN 'témoin' WHEN 1 THEN 'mis_en_cause' ELSE 'victime' END AS role, i = 2 AS est_client
+FROM cf_event_base WHERE i < 8"""
+
+VIEWS["cf_free_names"] = f"""
+SELECT dossier_id, event_id AS nom_id,
+  {_pick("Yanis DERRADJI,derradji yanis,DERRADII Yanis,TARKAN Selim,Selim TARKANE,Paul INCONNU,TARKAN,Odile CHABERT,chabert ODILE", "u + i")} AS nom_libre
+FROM cf_event_base"""
+
 VIEWS["cf_act_pieces"] = f"""
 SELECT dossier_id, CAST(floor(i / 2) AS INT) + 1 AS piece_id, i + 1 AS page_debut, i + 2 AS page_fin,
   CASE CAST(floor(i / 2) AS INT) + 1 WHEN 1 THEN 'PV de saisine' WHEN 2 THEN 'PV de notification de placement en garde à vue'
@@ -369,4 +380,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     order = _dependencies(name, [])
     used = [t for t in DRIVER_TABLES if any("{" + t + "}" in VIEWS[n] for n in order)]
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
-    return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **{t: driver_table(spark, sf_dir, t) for t in used})
+    df = spark.sql(f"WITH {ctes} SELECT * FROM {name}", **{t: driver_table(spark, sf_dir, t) for t in used})
+    if name == "cf_pages":
+        # Keep the template out of the operators' expressions: a page text read
+        # from a table is a plain column, and so it is here once generated.
+        others = [c for c in df.columns if c != "texte"]
+        df = df.select(*others, F.explode(F.array("texte")).alias("texte"))
+    return df
