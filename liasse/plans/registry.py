@@ -53,7 +53,8 @@ def lines_sql(c: str) -> str:
 
 
 def norm_sql(c: str) -> str:
-    return f"lower({strip_sql(f'''regexp_replace(translate({c}, '’‘', ''''''), '{WS}+', ' ', 'g')''')})"
+    folded = f"regexp_replace(translate({c}, '’‘', chr(39) || chr(39)), '{WS}+', ' ', 'g')"
+    return f"lower({strip_sql(folded)})"
 
 
 TITLE_CHARS = r"[A-ZÀ-Ÿ0-9°''’«»()/\-–—\s.,]"
