@@ -112,7 +112,7 @@ def quotations(d: Views):
     t = F.col("texte")
     cut = F.substring(t, 1, 60)
     kind = F.col("numero_global") % 4
-    asked = (F.when(kind == 0, F.upper(cut)).when(kind == 1, F.concat(F.lit("  "), F.regexp_replace(cut, "[ \n]", "  ")))
+    asked = (F.when(kind == 0, F.lower(cut)).when(kind == 1, F.concat(F.lit("  "), F.regexp_replace(cut, "[ \n]", "  ")))
              .when(kind == 2, F.concat(F.lit("Texte inventé "), F.substring(t, 1, 12))).otherwise(F.lit("")))
     return d.documents.select("dossier_id", F.col("numero_global").alias("id"), F.when(F.col("numero_global") % 17 == 0, -1).otherwise(
         F.col("numero_global")).alias("page"), asked.alias("citation"), F.lit("a_faire").alias("statut_verif"))
@@ -120,7 +120,7 @@ def quotations(d: Views):
 
 @query("verify_citations", views=("documents",), sql=rf"""
 , o_r AS (SELECT dossier_id, numero_global AS id, CASE WHEN numero_global % 17 = 0 THEN -1 ELSE numero_global END AS page, CASE numero_global % 4
-   WHEN 0 THEN upper(substr(texte, 1, 60)) WHEN 1 THEN '  ' || regexp_replace(substr(texte, 1, 60), '[ \n]', '  ', 'g') WHEN 2 THEN 'Texte inventé ' || substr(texte, 1, 12) ELSE '' END AS citation FROM cf_documents),
+   WHEN 0 THEN lower(substr(texte, 1, 60)) WHEN 1 THEN '  ' || regexp_replace(substr(texte, 1, 60), '[ \n]', '  ', 'g') WHEN 2 THEN 'Texte inventé ' || substr(texte, 1, 12) ELSE '' END AS citation FROM cf_documents),
 o_j AS (SELECT r.*, {norm_sql('citation')} <> '' AND contains({norm_sql('texte')}, {norm_sql('citation')}) AS exacte, texte IS NULL AS absente
   FROM o_r r LEFT JOIN cf_documents p ON p.dossier_id = r.dossier_id AND p.numero_global = r.page)
 SELECT dossier_id, id, page, citation, CASE WHEN exacte THEN 'verifie' ELSE 'rejete' END AS statut_verif, CASE WHEN exacte THEN 'exacte' ELSE 'rejetee' END AS methode_verif,
