@@ -301,6 +301,7 @@ def case_payload(d):
 
 @query("orphan_runs", views=("heartbeats",), sql="""
 , o_l AS (SELECT dossier_id, arg_max(statut, mis_a_jour_le) AS statut, max(mis_a_jour_le) AS mis_a_jour_le FROM cf_heartbeats GROUP BY ALL)
-SELECT * FROM o_l WHERE CASE statut WHEN 'en_cours' THEN epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(mis_a_jour_le) > 300000000 WHEN 'en_attente' THEN epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(mis_a_jour_le) > 1800000000 ELSE FALSE END""")
+SELECT * FROM o_l WHERE CASE statut WHEN 'en_cours' THEN epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(mis_a_jour_le) > 300000000 WHEN 'en_attente' THEN epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(mis_a_jour_le) > 1800000000 ELSE FALSE END""")
 def orphan_runs(d):
-    return jobs.orphans(d.heartbeats.withColumn("mis_a_jour_le", F.col("mis_a_jour_le").cast("timestamp")), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return jobs.orphans(d.heartbeats.withColumn("mis_a_jour_le", F.col("mis_a_jour_le").cast("timestamp")), F.lit("2024-02-01 00:00:00").cast("timestamp")).withColumn(
+        "mis_a_jour_le", F.col("mis_a_jour_le").cast("timestamp_ntz"))
