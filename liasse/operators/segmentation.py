@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, vocab as v
 from ..functions.dates import instant, opening, date_text
-from ..functions.scale import BLOCK, ordered_rank, ordered_scan, page_block
+from ..functions.scale import BLOCK, cut_lineage, ordered_rank, ordered_scan, page_block
 from .extraction import base_mark, reference_mark
 
 KEY = ["dossier_id", "numero_global"]
@@ -241,13 +241,16 @@ def _batches_by_pointers(sized: DataFrame, key: list[str], limit: int) -> DataFr
     jump = after.filter("depart is not null").select(*key, F.col("depart").alias("de"), F.col("suite").alias("vers"))
     starts = sized.groupBy(*key).agg(F.min("numero_global").alias("de"))
     longest = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    jumps = [jump]
+    if not longest:  # no long piece: nothing to follow
+        return sized.select(*key, "numero_global", F.lit(0).alias("lot")).filter("false")
+    # Each doubling reads the one before twice: written, the chain stays linear.
+    jumps = [cut_lineage(jump)]
     while (1 << len(jumps)) <= longest:
         a, b = jumps[-1].alias("a"), jumps[-1].select(*key, F.col("de").alias("vers"), F.col("vers").alias("loin")).alias("b")
-        jumps.append(a.join(b, [*key, "vers"]).select(*key, "de", F.col("loin").alias("vers")))
+        jumps.append(cut_lineage(a.join(b, [*key, "vers"]).select(*key, "de", F.col("loin").alias("vers"))))
     for hop in reversed(jumps):
         reached = starts.join(hop, [*key, "de"]).select(*key, F.col("vers").alias("de")).filter("de is not null")
-        starts = starts.unionByName(reached)
+        starts = cut_lineage(starts.unionByName(reached))
     opened = sized.join(starts.distinct().withColumnRenamed("de", "numero_global").withColumn("o", F.lit(1)),
                         [*key, "numero_global"], "left")
     return ordered_scan(opened, key, page_block(), ["numero_global"], sums={"lot": F.coalesce("o", F.lit(0))}).select(

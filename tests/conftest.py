@@ -11,6 +11,9 @@ from liasse.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", "4")
+    # Tiny tables: planning and code generation would be most of the time.
+    for key, value in (("spark.sql.shuffle.partitions", "2"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.codegen.wholeStage", "false")):
+        session.conf.set(key, value)
     yield session
     session.stop()
 
