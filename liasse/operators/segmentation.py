@@ -238,7 +238,11 @@ def _batches_by_pointers(sized: DataFrame, key: list[str], limit: int) -> DataFr
     line = ends.unionByName(asks).withColumn("__o", F.struct(
         -F.col("valeur"), F.col("depart").isNull().cast("int"), -F.coalesce("page", F.lit(0))))
     after = ordered_scan(line, key, F.floor(-F.col("valeur") / (limit * 64)), ["__o"], lasts={"suite": F.col("page")})
-    jump = after.filter("depart is not null").select(*key, F.col("depart").alias("de"), F.col("suite").alias("vers"))
+    # An oversized page is alone: the batch after it opens on the very next page.
+    big = ordered_scan(sized, key, F.negative(page_block()), [F.negative("numero_global")], lags={"suivante": n}).filter(F.col("taille") > limit)
+    jump = after.filter("depart is not null").select(*key, F.col("depart").alias("de"), "suite").join(
+        big.select(*key, n.alias("de"), "suivante", F.lit(True).alias("seule")), [*key, "de"], "left").select(
+        *key, "de", F.when(F.col("seule"), F.col("suivante")).otherwise(F.col("suite")).alias("vers"))
     starts = sized.groupBy(*key).agg(F.min("numero_global").alias("de"))
     longest = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if not longest:  # no long piece: nothing to follow

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import vocab as v
+from ..functions.scale import cut_lineage
 from ..operators.verification import verify
 from ..schemas import PAGES
 from ..sources.pages import new_files, number_pages, pages_with_marks
@@ -78,19 +79,13 @@ def ingest_stream(spark: SparkSession, incoming: str, pages_path: str, quotes_pa
         # Pages of this batch already landed by an attempt that failed midway are left out.
         existing = session.read.schema(PAGES).parquet(pages_path).join(touched, "dossier_id", "left_semi")
         fresh = new_files(batch, existing)
-        rank = F.dense_rank  # files in order of name within a batch
-        from pyspark.sql import Window
-
-        files = fresh.select("dossier_id", "fichier_source").distinct().withColumn(
-            "rang_fichier", rank().over(Window.partitionBy("dossier_id").orderBy("fichier_source")))
-        numbered = number_pages(fresh.drop("numero_global").join(files, ["dossier_id", "fichier_source"]), existing).drop("rang_fichier")
-        landed = pages_with_marks(numbered).persist()
-        try:
-            landed.write.mode("append").parquet(pages_path)
-            quotes = session.read.parquet(quotes_path)
-            on_new = quotes.join(landed.select("dossier_id", F.col("numero_global").alias("page")), ["dossier_id", "page"], "left_semi")
-            verify(on_new, landed).withColumn("lot", F.lit(epoch)).write.mode("append").parquet(out_path)
-        finally:
-            landed.unpersist()
+        # Files of a batch are taken in order of name.
+        numbered = number_pages(fresh.drop("numero_global").withColumn("rang_fichier", F.col("fichier_source")), existing).drop("rang_fichier")
+        # Written first: what follows must not read the page table it appends to.
+        landed = cut_lineage(pages_with_marks(numbered))
+        landed.write.mode("append").parquet(pages_path)
+        on_new = session.read.parquet(quotes_path).join(
+            landed.select("dossier_id", F.col("numero_global").alias("page")), ["dossier_id", "page"], "left_semi")
+        verify(on_new, landed).withColumn("lot", F.lit(epoch)).write.mode("append").parquet(out_path)
 
     return once.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
