@@ -81,23 +81,25 @@ def piece_bounds(islands: DataFrame) -> DataFrame:
 def header(c: Column) -> Column:
     """Capital lines at the head of a page, reference lines skipped (six at most)."""
     def step(acc: Column, line: Column) -> Column:
-        title = text.is_title(line)
-        skips = ~title & (acc["sautees"] < v.LIGNES_TETE) & (
-            (F.size(acc["titres"]) == 0) | line.rlike(v.RE_METADONNEE_ENTETE))
-        return F.struct(
-            F.when(~acc["fin"] & title, F.concat(acc["titres"], F.array(line))).otherwise(acc["titres"]).alias("titres"),
-            F.when(~acc["fin"] & skips, acc["sautees"] + 1).otherwise(acc["sautees"]).alias("sautees"),
-            (acc["fin"] | ~(title | skips)).alias("fin"),
-        )
+        title = line["titre"]
+        skips = (acc["sautees"] < v.LIGNES_TETE) & ((F.size(acc["titres"]) == 0) | line["ligne"].rlike(v.RE_METADONNEE_ENTETE))
+        return (
+            F.when(acc["fin"], acc)
+            .when(title, F.struct(F.concat(acc["titres"], F.array(line["ligne"])).alias("titres"), acc["sautees"].alias("sautees"), F.lit(False).alias("fin")))
+            .when(skips, F.struct(acc["titres"].alias("titres"), (acc["sautees"] + 1).alias("sautees"), F.lit(False).alias("fin")))
+            .otherwise(F.struct(acc["titres"].alias("titres"), acc["sautees"].alias("sautees"), F.lit(True).alias("fin"))))
 
     start = F.struct(F.array().cast("array<string>").alias("titres"), F.lit(0).alias("sautees"), F.lit(False).alias("fin"))
-    return F.aggregate(text.lines(c), start, step, lambda acc: F.array_join(acc["titres"], " "))
+    marked = F.transform(text.lines(c), lambda x: F.struct(x.alias("ligne"), text.is_title(x).alias("titre")))
+    return F.aggregate(marked, start, step, lambda acc: F.array_join(acc["titres"], " "))
 
 
 def heading(c: Column) -> Column:
     """What a piece is typed on: « Objet : … » of a report, header, strong titles."""
     def parts(top: Column) -> Column:
-        joined = F.array_join(top, "\n")
+        return text.let(F.array_join(top, "\n"), lambda joined: with_head(top, joined))
+
+    def with_head(top: Column, joined: Column) -> Column:
         subject = F.regexp_replace(
             F.split(F.regexp_extract(joined, v.RE_OBJET, 1), r"(?U)\s{2,}|Feuillet|N°", 2)[0], "^[ \\-–—]+|[ \\-–—]+$", "")
         link = F.when(F.upper(text.no_accents(F.substring(subject, 1, 1))).isin(*"AEIOUYH"), "D'").otherwise("DE ")
