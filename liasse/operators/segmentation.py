@@ -133,15 +133,16 @@ def classify(pages: DataFrame, threshold: float = v.SEUIL_CONFIANCE, rules=v.REG
     t = F.col("texte")
     marks = pages.select(
         "dossier_id", "piece_id", "numero_global", t.rlike(v.RE_DOCUMENT_AVOCAT).alias("avocat"),
-        F.when(F.col("ouvre"), F.struct(
-            heading(t).alias("intitule"), F.substring(t, 1, 600).rlike(v.RE_PROCES_VERBAL).alias("pv"))).alias("tete"),
+        # Typed before the shuffle, where the pages are spread over all tasks.
+        F.when(F.col("ouvre"), text.let(heading(t), lambda h: F.struct(
+            h.alias("intitule"), type_by_rules(h, rules).alias("type"),
+            F.substring(t, 1, 600).rlike(v.RE_PROCES_VERBAL).alias("pv")))).alias("tete"),
     )
     pieces = marks.groupBy("dossier_id", "piece_id").agg(
         F.min("numero_global").alias("page_debut"), F.max("numero_global").alias("page_fin"),
         F.bool_or("avocat").alias("avocat"), F.min_by("tete", "numero_global").alias("tete"),
     )
-    kind = F.when(F.col("avocat") & ~F.col("tete.pv"), v.DOCUMENT_AVOCAT).otherwise(
-        type_by_rules(F.col("tete.intitule"), rules))
+    kind = F.when(F.col("avocat") & ~F.col("tete.pv"), v.DOCUMENT_AVOCAT).otherwise(F.col("tete.type"))
     typed = pieces.select("dossier_id", "piece_id", "page_debut", "page_fin", kind.alias("type"),
                           F.col("tete.intitule").alias("intitule"))
     confidence = F.when(F.col("type") == v.NON_IDENTIFIE, 0.0).otherwise(1.0)
