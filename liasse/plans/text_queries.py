@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab as v
 from ..functions.dates import _cardinals
 from ..operators import extraction as x, filters as f
-from ..schemas import PAGES
 from ..sources import pages as s
 from .registry import WS, lines_sql, norm_sql, query, strip_sql, title_sql
 
