@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
-from .common import read
+from . import quality_rules, sharding, warc_revisits
+from .common import read, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @_query("op9_quality_rules", QUALITY_SQL)
 def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_figures(read(spark, folder, "documents"))
+
+
+@_query("op4_sharding")
+def _sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Law ``rows``: shard counts are at most one apart."""
+    sharded = sharding.into_shards(read(spark, folder, "documents"), 16)
+    text = whole_text(F.col("record")["text"])
+    return sharded.select(
+        F.col("record")["doc_id"].alias("doc_id"), sharding.record_size(text).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+WARC_SQL = r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u,
+  md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n FROM pages),
+c AS (SELECT page_id, digest, n, regexp_extract(u, '^[^?]*', 0, 's') AS p,
+  list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM b),
+p AS (SELECT page_id, digest, n, '"' || substr(digest, 1, 16) || '"' AS tag,
+  regexp_replace(regexp_replace(lower(regexp_extract(p, '^[^/]*', 0, 's')), '^www\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(p, '^[^/]*(.*)$', 1, 's'), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM c),
+v AS (SELECT page_id, url, 10 * page_id + 5 + 10 * (7919 * page_id % 997) AS "at", CASE WHEN page_id % 7 <> 0 THEN tag END AS tag FROM p),
+r AS (SELECT page_id, url, 10 * page_id AS "at", tag, digest, n FROM p),
+j AS (SELECT v.page_id, v.url, v."at", v.tag, r.page_id AS response_id, r."at" AS response_at, r.tag AS rtag, r.digest, r.n
+  FROM v ASOF LEFT JOIN r ON v.url = r.url AND v."at" > r."at")
+SELECT page_id AS record_id, url AS canonical_url, "at", response_id, response_at,
+  CASE WHEN response_id IS NULL THEN 'missing' WHEN tag IS NULL THEN 'unverified' WHEN tag = rtag THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN response_id IS NOT NULL AND coalesce(tag = rtag, true) THEN 'cache-control=max-age=60;content-length=' || n || ';content-type=text/html;date=t' || "at" || ';etag=' || rtag END AS headers,
+  CASE WHEN response_id IS NOT NULL AND coalesce(tag = rtag, true) THEN digest END AS digest FROM j
+"""
+
+
+@_query("op3_warc_revisits", WARC_SQL)
+def _warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.page_captures(read(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, ";"))
