@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Blanks between words: the space and the ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
-BLANK_CHARS = " \t\n\x0b\f\r"
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,10 +28,6 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def strip_blanks(text: Column) -> Column:
-    return F.translate(text, BLANK_CHARS, "")
-
-
 def write_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
 

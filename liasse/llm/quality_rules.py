@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, strip_blanks, whole_text, words
+from .common import bind, whole_text, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 MOST_SYMBOLS_PER_WORD = 0.3
@@ -36,50 +36,65 @@ def n_words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(strip_blanks(whole_text(text))).cast("long")
+    return F.length(F.array_join(words(text), "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
     whole = whole_text(text)
-    return (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long")
+    return (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long")
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(whole_text(text), "\n"), lambda x: strip_blanks(x) != "")
+    return F.filter(F.split(whole_text(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def n_dup_lines(text: Column) -> Column:
     return bind(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more, the first one included.
+# Repeated windows, in three steps over arrays of numbers.  A code holds the leading bits of a window's
+# hash above its place, so that sorting the codes brings equal windows together; windows that agree in
+# those bits are then compared by their whole hash.
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _window(h: Column, i: Column) -> Column:
+    return F.xxhash64(h[i], h[i + 1], h[i + 2])
 
-    Windows are sorted by their hash with their place; equal neighbours are the
-    repeated ones.  Their places, in order, give the words they cover.
-    """
-    def windows(w: Column) -> Column:
-        last = F.size(w) - 2
-        return F.when(last < 1, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i"))))
+
+def _place_bits(h: Column) -> Column:
+    return F.length(F.bin(F.size(h)))
+
+
+def window_codes(h: Column, bits: Column) -> Column:
+    """Sorted codes of all 3-word windows; ``h`` are the words' hashes."""
+    starts = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
+    return F.sort_array(F.transform(starts, lambda x, i: F.call_function(
+        "shiftleft", F.xxhash64(x, h[i + 1], h[i + 2]), bits).bitwiseOR(i.cast("long"))))
+
+
+def covered_words(h: Column, codes: Column, bits: Column) -> Column:
+    """Words inside windows that occur twice or more, the first occurrence included."""
+    nexts = F.slice(codes, 2, F.greatest(F.size(codes), F.lit(1)))
+    alike = F.zip_with(codes, nexts, lambda a, b: F.when(F.call_function("shiftright", a.bitwiseXOR(b), bits) == 0, F.array(a, b)))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    places = F.array_distinct(F.transform(F.flatten(F.filter(alike, lambda x: x.isNotNull())), lambda x: x.bitwiseAND(mask).cast("int")))
+    marked = F.sort_array(F.transform(places, lambda i: F.struct(_window(h, i).alias("h"), i.alias("i"))))
 
     def repeated(s: Column) -> Column:
         return F.filter(s, lambda x, k: F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
 
-    def covered(places: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-2).alias("p"))
-        return F.aggregate(places, start, lambda a, p: F.struct(
-            (a["n"] + F.least(F.lit(3), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"])
-
-    found = bind(bind(words(text), lambda w: F.sort_array(windows(w))), repeated)
-    return covered(F.sort_array(F.transform(found, lambda x: x["i"])))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("p"))
+    return F.aggregate(F.sort_array(F.transform(bind(marked, repeated), lambda x: x["i"])), start, lambda a, p: F.struct(
+        (a["n"] + F.least(F.lit(3), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"])
 
 
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    rejects: Callable[[Column], Column]  # of the text; null counts as no
+def n_repeat_words(text: Column) -> Column:
+    """Words inside 3-word windows that the text holds twice or more, the first one included."""
+    return bind(word_hashes(words(text)), lambda h: covered_words(h, window_codes(h, _place_bits(h)), _place_bits(h)))
 
 
 def upper_share(text: Column) -> Column:
@@ -87,17 +102,32 @@ def upper_share(text: Column) -> Column:
     return (F.length(whole) - F.length(F.regexp_replace(whole, r"\p{Lu}", ""))) / F.greatest(F.length(whole), F.lit(1))
 
 
-def _mean_length(text: Column) -> Column:
-    return word_chars(text) / F.greatest(n_words(text), F.lit(1))
+class Figures:
+    """The figures of a text by name: columns that are there already, or else their expressions."""
+
+    _made = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words,
+             "n_lines": lambda t: F.size(lines_with_words(t)), "upper_share": upper_share}
+
+    def __init__(self, text: Column, **ready: Column) -> None:
+        self.text, self.ready = text, ready
+
+    def __getitem__(self, name: str) -> Column:
+        return self.ready[name] if name in self.ready else self._made[name](self.text)
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    rejects: Callable[[Figures], Column]  # null counts as no
 
 
-SHORT = Rule("short", lambda t: n_words(t) < LEAST_WORDS)
-REPEATS = Rule("repeats", lambda t: 100 * n_repeat_words(t) > MOST_REPEATED_PERCENT * n_words(t))
+SHORT = Rule("short", lambda f: f["n_words"] < LEAST_WORDS)
+REPEATS = Rule("repeats", lambda f: 100 * f["n_repeat_words"] > MOST_REPEATED_PERCENT * f["n_words"])
 EXTRA_RULES = (
-    Rule("symbols", lambda t: n_symbols(t) > MOST_SYMBOLS_PER_WORD * n_words(t)),
-    Rule("upper", lambda t: upper_share(t) > MOST_UPPER_SHARE),
-    Rule("duplicate_lines", lambda t: n_dup_lines(t) > MOST_DUPLICATE_LINES * F.size(lines_with_words(t))),
-    Rule("word_length", lambda t: ~_mean_length(t).between(*WORD_LENGTHS)),
+    Rule("symbols", lambda f: f["n_symbols"] > MOST_SYMBOLS_PER_WORD * f["n_words"]),
+    Rule("upper", lambda f: f["upper_share"] > MOST_UPPER_SHARE),
+    Rule("duplicate_lines", lambda f: f["n_dup_lines"] > MOST_DUPLICATE_LINES * f["n_lines"]),
+    Rule("word_length", lambda f: ~(f["word_chars"] / F.greatest(f["n_words"], F.lit(1))).between(*WORD_LENGTHS)),
 )
 ALL_RULES = (SHORT, REPEATS, *EXTRA_RULES)
 
@@ -109,11 +139,11 @@ def ordered_rules(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", sa
     """
     sample = df.select(F.col(text).alias("t")).limit(sample_rows).persist()
     try:
-        rates = sample.select(*[F.avg(r.rejects(F.col("t")).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+        rates = sample.select(*[F.avg(r.rejects(Figures(F.col("t"))).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
         seconds = []
         for rule in rules:
             start = time.perf_counter()
-            sample.agg(F.count(F.when(rule.rejects(F.col("t")), 1))).first()
+            sample.agg(F.count(F.when(rule.rejects(Figures(F.col("t"))), 1))).first()
             seconds.append(time.perf_counter() - start)
     finally:
         sample.unpersist()
@@ -121,27 +151,31 @@ def ordered_rules(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", sa
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (gain[i], i))]
 
 
-def rejected_by(rules: list[Rule], text: Column) -> Column:
+def rejected_by(rules: list[Rule], figures: Figures) -> Column:
     """The first rule, in this order, that rejects the text; null when none does."""
     chain = None
     for rule in rules:
-        chain = (F if chain is None else chain).when(rule.rejects(text), F.lit(rule.name))
+        chain = (F if chain is None else chain).when(rule.rejects(figures), F.lit(rule.name))
     return F.lit(None).cast("string") if chain is None else chain
 
 
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = ALL_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with their columns as they were."""
-    return df.where(rejected_by(ordered_rules(df, rules, text, sample_rows), F.col(text)).isNull())
+    return df.where(rejected_by(ordered_rules(df, rules, text, sample_rows), Figures(F.col(text))).isNull())
 
 
 def quality_figures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The figures of each row, ``base_failed`` and the verdict of the cascade."""
-    t = F.col("t")
+    t, h, bits = F.col("t"), F.col("h"), F.col("bits")
     order = ordered_rules(df, EXTRA_RULES, text, sample_rows)
-    rows = df.select(F.col(doc_id).alias("doc_id"), whole_text(F.col(text)).alias("t"))
-    figures = rows.select("doc_id", "t", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
-                          n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"))
+    # Each step is a projection of its own: arrays that a later one reads many times are computed once.
+    rows = df.select(F.col(doc_id).alias("doc_id"), whole_text(F.col(text)).alias("t")).withColumn("w", words(t))
+    rows = rows.select("doc_id", "t", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+                       n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), F.size(lines_with_words(t)).alias("n_lines"), word_hashes(F.col("w")).alias("h"))
+    rows = rows.withColumn("bits", _place_bits(h)).withColumn("codes", window_codes(h, bits))
+    figures = rows.withColumn("n_repeat_words", covered_words(h, F.col("codes"), bits))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    known = Figures(t, **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")})
     return figures.withColumn("base_failed", base).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), False).otherwise(rejected_by(order, t).isNull()).alias("kept"))
+        F.when(F.col("base_failed"), False).otherwise(rejected_by(order, known).isNull()).alias("kept"))
