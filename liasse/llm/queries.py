@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sharding, warc_revisits
+from . import quality_rules, sharding, url_filters, warc_revisits
 from .common import read, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def _warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     found = warc_revisits.resolve_revisits(warc_revisits.page_captures(read(spark, folder, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(lines, ";"))
+
+
+@_query("op7_url_filters")
+def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge_urls(read(spark, folder, "pages"))

@@ -24,6 +24,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import write_checkpoint
+
 # Word list of the positive class; a parameter of the functions below.
 UNWANTED = ("ads", "adult", "banner", "bet", "bets", "betting", "casino", "cheap", "escort", "farm", "free", "jackpot", "lottery", "pharma", "pharmacy",
             "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "win", "xxx")
@@ -62,7 +64,7 @@ def names(host: Column, path: Column) -> Column:
     return F.filter(F.split(both, r"[^\p{L}]+"), lambda w: w != "")
 
 
-def word_counts(pages: DataFrame, html: str | None, asked: DataFrame, words: Sequence[str] = UNWANTED) -> DataFrame:
+def word_counts(pages: DataFrame, html: str | None, words: Sequence[str] = UNWANTED) -> DataFrame:
     """How often each word stands in the visible text of all pages; listed words have a pseudo-count."""
     listed_words = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in words], "word string, n long")
     if html is None:
@@ -96,16 +98,59 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series([cut(a, b, c) for a, b, c in zip(name, parts, total)], dtype=object)
 
 
+def _salted(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Left join of many rows with a table that has each value once; a common value is spread over ``SALTS`` parts."""
+    spread = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [column, "salt"], "left").drop("salt")
+
+
 def segment(found: DataFrame, counts: DataFrame) -> DataFrame:
     """``name`` and its ``words`` for each distinct name of ``found``."""
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1.0
     distinct = found.select("name").distinct()
-    total = F.coalesce(F.sum("n"), F.lit(0)).cast("double")
     short = distinct.where(F.length("name").between(2, LONGEST_NAME))
     starts = short.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s"))
-    parts = starts.select("name", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("s") + 1))).alias("k")).select(
+    longest = F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("s") + 1)
+    parts = starts.select("name", "s", F.explode(F.sequence(F.lit(1), longest)).alias("k")).select(
         "name", (F.col("s") - 1).alias("i"), "k", F.expr("substring(name, s, k)").alias("word"))
     known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("i", "k", "n")).alias("parts"))
-    cut = known.crossJoin(F.broadcast(counts.agg((total + 1).alias("total")))) if False else known.join(
-        counts.agg((total + 1).alias("total")).withColumn("one", F.lit(1)).hint("broadcast"), F.lit(1) == F.col("one")).drop("one")
-    done = cut.select("name", _cut("name", "parts", "total").alias("words"))
+    done = known.select("name", _cut("name", "parts", F.lit(total)).alias("words"))
     return distinct.join(done, "name", "left").select("name", F.coalesce("words", F.array("name")).alias("words"))
+
+
+def url_words(pages: DataFrame, counts: DataFrame, plain: Sequence[str] = PLAIN) -> DataFrame:
+    """Each distinct (host, path) with its number of rows, its words and whether its host holds a plainly unwanted one."""
+    urls = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"))
+    parts = [urls.select("host", "path", F.explode(names(F.col(c), F.lit(None))).alias("name"), F.lit(c == "host").alias("of_host")) for c in ("host", "path")]
+    found = parts[0].unionByName(parts[1])
+    cut = _salted(found, segment(found, counts), "name").select("host", "path", "of_host", F.explode("words").alias("word"))
+    held = cut.groupBy("host", "path").agg(
+        F.collect_list("word").alias("words"), F.max(F.col("of_host") & F.col("word").isin(*plain)).alias("unwanted"))
+    return urls.join(held, ["host", "path"]).where(F.size("words") > 0)
+
+
+def word_ratios(urls: DataFrame) -> tuple[DataFrame, float]:
+    """log P(word | unwanted) - log P(word | other) with add-one smoothing, and the log ratio of the classes."""
+    each = urls.select(F.explode("words").alias("word"), F.when(F.col("unwanted"), F.col("rows")).otherwise(0).alias("bad"),
+                       F.when(F.col("unwanted"), 0).otherwise(F.col("rows")).alias("good"))
+    counts = each.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = counts.agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
+    bad, good, kinds = [x or 0 for x in sums]
+    n = urls.agg(F.sum(F.when(F.col("unwanted"), F.col("rows"))), F.sum(F.when(~F.col("unwanted"), F.col("rows")))).first()
+    ratio = F.log((F.col("bad") + 1) / F.lit(bad + kinds + 1.0)) - F.log((F.col("good") + 1) / F.lit(good + kinds + 1.0))
+    return counts.select("word", ratio.alias("ratio")), math.log(((n[0] or 0) + 1) / ((n[1] or 0) + 1))
+
+
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str | None = "html",
+               rules: Sequence[tuple[str, str, str]] = RULES, unwanted: Sequence[str] = UNWANTED, plain: Sequence[str] = PLAIN) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` and ``score``, the log odds of the model (null where there are no words)."""
+    rows = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    urls = write_checkpoint(url_words(rows, word_counts(pages, html, unwanted), plain))
+    ratios, prior = word_ratios(urls)
+    words = urls.select("host", "path", F.explode("words").alias("word"))
+    scores = _salted(words, ratios, "word").groupBy("host", "path").agg((F.sum("ratio") + F.lit(prior)).alias("score"))
+    rule, says = listed(F.col("host"), F.col("path"), rules)
+    method = F.when(F.col("score") > 0, "block").otherwise("allow")
+    return rows.join(scores, ["host", "path"], "left").select(
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), "score")
