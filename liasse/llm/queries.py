@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sharding, url_filters, warc_revisits
+from . import pieces, quality_rules, sharding, url_filters, warc_revisits
 from .common import read, whole_text
 
+# A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -82,3 +85,12 @@ def _warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_url_filters")
 def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge_urls(read(spark, folder, "pages"))
+
+
+@_query("op5_sentencepiece")
+def _sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding gives the text back."""
+    model = pieces.load(PIECES)
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, model), model)
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
