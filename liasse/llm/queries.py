@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, quality_rules, sharding, url_filters, warc_revisits
+from . import decontamination, pieces, quality_rules, sharding, url_filters, warc_revisits
 from .common import read, whole_text
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
@@ -94,3 +94,10 @@ def _sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     back = pieces.decode(pieces.encode(docs, model), model)
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@_query("op6_decontamination")
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each benchmark item that a document holds."""
+    found = decontamination.passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.drop("key")
