@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, pieces, quality_rules, sharding, url_filters, warc_revisits
+from . import decontamination, line_dedup, pieces, quality_rules, sharding, url_filters, warc_revisits
 from .common import read, whole_text
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
@@ -101,3 +101,24 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each benchmark item that a document holds."""
     found = decontamination.passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.drop("key")
+
+
+LINES_SQL = r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, s, unnest(range(len(s))) AS p FROM s WHERE text IS NOT NULL),
+m AS (SELECT doc_id, p, s[p + 1] AS x, len(list_filter(string_split_regex(s[p + 1], '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM m),
+r AS (SELECT a.doc_id, a.p, min(b.p) AS q FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.e - a.e + a.w >= 50 GROUP BY ALL),
+k AS (SELECT r.doc_id, r.p, r.q, string_agg(c.x, chr(10) ORDER BY c.p) AS t FROM r JOIN c ON c.doc_id = r.doc_id AND c.p BETWEEN r.p AND r.q GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS n FROM k),
+g AS (SELECT DISTINCT c.doc_id, c.p FROM f JOIN c ON c.doc_id = f.doc_id AND c.p BETWEEN f.p AND f.q WHERE n > 1),
+d AS (SELECT c.doc_id, count(*) AS n_lines, count(g.p) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY c.p) FILTER (WHERE g.p IS NULL), '') AS text
+  FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.p = g.p GROUP BY ALL)
+SELECT s.doc_id, d.text, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed FROM s LEFT JOIN d USING (doc_id)
+"""
+
+
+@_query("op8_line_dedup", LINES_SQL)
+def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read(spark, folder, "documents"))
+    return found.select(F.col("row")["doc_id"].alias("doc_id"), "text", "n_lines", "n_removed")

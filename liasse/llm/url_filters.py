@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .common import write_checkpoint
 
@@ -74,7 +75,7 @@ def word_counts(pages: DataFrame, html: str | None, words: Sequence[str] = UNWAN
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(listed_words).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Viterbi over one name: parts are (start, length, count), letters outside any word cost as a rare one."""
     def cut(name: str, parts, total: float) -> list[str]:
