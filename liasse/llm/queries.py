@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, line_dedup, pieces, quality_rules, sharding, url_filters, warc_revisits
+from . import decontamination, line_dedup, pieces, quality_rules, sharding, toxicity, url_filters, warc_revisits
 from .common import read, whole_text
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
@@ -122,3 +122,8 @@ SELECT s.doc_id, d.text, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_re
 def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.dedup_lines(read(spark, folder, "documents"))
     return found.select(F.col("row")["doc_id"].alias("doc_id"), "text", "n_lines", "n_removed")
+
+
+@_query("op2_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
