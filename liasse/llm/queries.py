@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, line_dedup, perplexity, pieces, quality_rules, sharding, toxicity, url_filters, warc_revisits
+from . import decontamination, line_dedup, near_dedup, perplexity, pieces, quality_rules, sharding, toxicity, url_filters, warc_revisits
 from .common import read, whole_text
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
@@ -132,3 +132,8 @@ def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_perplexity")
 def _perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@_query("op1_near_dedup")
+def _near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents")).drop("a", "b")
