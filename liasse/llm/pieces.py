@@ -32,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 SPACE = "▁"
 ROOT = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 800_000  # encoded words that a worker remembers; affects speed only
-DOCS_AT_ONCE = 2048
+WORDS_KEPT = 250_000  # encoded words that a worker remembers; affects speed only
+DOCS_AT_ONCE = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
