@@ -7,6 +7,8 @@ scan inside the blocks, scan the (few) block totals, and add both.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 4096
@@ -91,14 +93,19 @@ def page_block(column: str = "numero_global") -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (``spark.checkpoint.dir``)."""
+    """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+
+    A session on one machine may leave it unset, as tests do, and then gets a
+    folder of its own; on a cluster that would be a folder no other machine
+    sees, so the call fails.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # a local session, as in tests
-            import tempfile
-
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
