@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scale import cut_lineage as write_checkpoint  # noqa: F401  in the folder that spark.checkpoint.dir names
+
 # Blanks between words: the space and the ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -26,19 +28,3 @@ def words(text: Column) -> Column:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside lambdas of ``body``."""
     return F.transform(F.array(value), body)[0]
-
-
-def write_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
-
-    The folder is read from the session; without one there is no place that all
-    executors share, and the call fails rather than use a local folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

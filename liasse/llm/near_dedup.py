@@ -341,3 +341,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = rows.select("doc_id", "a", "b", F.col("n").alias("n_shingles"), "node").join(of_class, "node", "left").withColumn("component_id", component)
     return out.select("doc_id", "a", "b", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and one of rows that agree in id and text."""
+    found = near_duplicates(docs, doc_id, text)
+    gone = write_checkpoint(found.where(~F.col("kept")).select("a", "b").distinct())
+    again = write_checkpoint(found.where("kept").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "b"))
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    i, t = F.col(doc_id), F.col(text)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, i).alias("b")).join(gone, ["a", "b"], "left_anti")
+    if not again.isEmpty():
+        one = rows.join(again, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("row").alias("row")).select("row", "a", "b")
+        rows = rows.join(again, ["a", "b"], "left_anti").unionByName(one)
+    return rows.select("row.*")
