@@ -95,8 +95,11 @@ def _per_class(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> tu
     return [np.ascontiguousarray(k[edge]) for k in keys], n_bad, n - n_bad
 
 
-def _counted(texts: DataFrame, names: list[str], keys_of) -> DataFrame:
-    """``names, toxic, ordinary``: in how many documents of either class each key stands."""
+def _counted(texts: DataFrame, keys_of, packed: bool) -> DataFrame:
+    """``first, second, n``: in how many documents of either class each pair of keys stands.
+
+    ``n`` holds the toxic ones in its upper half.  Packed keys share ``first``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Hashes()
         for batch in batches:
@@ -104,32 +107,46 @@ def _counted(texts: DataFrame, names: list[str], keys_of) -> DataFrame:
             keys, at = keys_of(tokens, counts)
             doc = np.repeat(np.arange(len(counts)), counts)[at]
             keys, bad, good = _per_class(keys, doc, batch.column(1).to_numpy(zero_copy_only=False) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, bad, good)], names=[*names, "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, (bad << 32) + good)], names=[*names, "n"])
+
+    names = ["first"] if packed else ["first", "second"]
+    found = texts.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
+    return found.groupBy(*names).agg(F.sum("n").alias("n"))
 
-    found = texts.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "toxic", "ordinary")))
-    return found.groupBy(*names).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+def _classes() -> list[Column]:
+    return [F.shiftright("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("ordinary")]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, toxic, ordinary``: the documents of either class with each word, by hash."""
-    return _counted(texts, ["word"], lambda tokens, counts: ([tokens], np.arange(len(tokens))))
+    found = _counted(texts, lambda tokens, counts: ([tokens], np.arange(len(tokens))), True)
+    return found.select(F.col("first").alias("word"), *_classes())
 
 
 def pair_counts(texts: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """``first, second, toxic, ordinary``: the documents in which two words follow each other; of sorted ``words`` only if given."""
+    """``first, second, toxic, ordinary``: the documents in which two words follow each other.
+
+    With sorted ``words``, of these only and by their numbers, written compactly
+    (``checkpoint``); else of all words and by hash.
+    """
     sent = None if words is None else texts.sparkSession.sparkContext.broadcast(words)
 
     def pairs(tokens: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         start = np.zeros(len(tokens) + 1, bool)
         start[np.cumsum(counts) - counts] = True
         ok = ~start[1:-1]
-        if sent is not None:
-            known = _places(sent.value, tokens) >= 0
-            ok = ok & known[:-1] & known[1:]
-        at = np.flatnonzero(ok)
-        return [tokens[at], tokens[at + 1]], at
+        if sent is None:
+            at = np.flatnonzero(ok)
+            return [tokens[at], tokens[at + 1]], at
+        number = _places(sent.value, tokens)
+        at = np.flatnonzero(ok & (number[:-1] >= 0) & (number[1:] >= 0))
+        return [(number[at] << 32) + number[at + 1]], at
 
-    return _counted(texts, ["first", "second"], pairs)
+    if sent is None:
+        return _counted(texts, pairs, False).select("first", "second", *_classes())
+    kept = write_checkpoint(_counted(texts, pairs, True))
+    return kept.select(F.shiftright("first", 32).alias("first"), F.col("first").bitwiseAND(F.lit((1 << 32) - 1)).alias("second"), *_classes())
 
 
 def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -172,12 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> Ratio
     share = bad / (bad + good)
     words = write_checkpoint(word_counts(texts).where(F.col("toxic") + F.col("ordinary") >= LEAST_COUNT))
     n_words = words.count()
+    names = None
     if n_words <= most_sent:
-        pairs = pair_counts(texts, np.sort(words.select("word").toArrow()["word"].to_numpy()))
+        # Words go by their numbers, half as long as hashes, until the end.
+        sent = np.sort(words.select("word").toArrow()["word"].to_numpy())
+        names = docs.sparkSession.createDataFrame(pa.table({"word": np.arange(len(sent)), "hash": sent}))
+        words = write_checkpoint(words.withColumnRenamed("word", "hash").join(names, "hash").drop("hash"))
+        pairs = pair_counts(texts, sent)
     else:
         known = lambda c: words.select(F.col("word").alias(c))
-        pairs = pair_counts(texts, None).join(known("first"), "first", "left_semi").join(known("second"), "second", "left_semi")
-    pairs = write_checkpoint(pairs)
+        pairs = write_checkpoint(pair_counts(texts, None).join(known("first"), "first", "left_semi").join(known("second"), "second", "left_semi"))
     d = {c: _discount(pairs, c) for c in classes}
     ends = pairs.groupBy(F.col("second").alias("word")).agg(
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"n_{c}") for c in classes], F.count(F.lit(1)).alias("n_all"))
@@ -208,6 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> Ratio
 
     of_pairs = write_checkpoint(joined.select("first", "second", (F.log(pair("toxic")) - F.log(pair("ordinary"))).alias("ratio")))
     of_words = table.select("word", (F.log("p_toxic") - F.log("p_ordinary")).alias("ratio")).where("ratio <> 0")
+    if names is not None:
+        of_words = of_words.join(names, "word").select(F.col("hash").alias("word"), "ratio")
+        for c in ("first", "second"):
+            of_pairs = of_pairs.join(names.select(F.col("word").alias(c), "hash"), c).drop(c).withColumnRenamed("hash", c)
     return Ratios(of_words, of_pairs, max(n_words, of_pairs.count()))
 
 
