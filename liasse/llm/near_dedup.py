@@ -10,8 +10,8 @@ of both, and two registers are equal about as often as the sets' similarity says
 1. Documents with equal sets are one class; only classes are compared.
 2. ``BANDS`` bands of ``ROWS`` registers put classes in buckets.  A pair at the
    limit shares none of them once in two million times.
-3. Within a bucket, classes are compared with leaders, one at first and
-   ``GROWTH`` times as many each round.  Classes that are linked already, directly
+3. Within a bucket, classes are compared with leaders, about ``FIRST_LEADERS``
+   at first and ``GROWTH`` times as many each round.  Classes that are linked already, directly
    or not, are not compared again, and a bucket whose classes are all linked is
    done.  A bucket is left when all its classes were leaders, so no pair is lost
    to the size of a bucket, and none of a linked group's pairs are listed.
@@ -31,9 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scale import ordered_rank
 from .common import write_checkpoint
 
 SHINGLE = 5
@@ -41,7 +40,7 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 BASE = 1.001
 RATE = 20.0
-GROWTH = 4
+FIRST_LEADERS, GROWTH = 2, 8
 CHUNK = 2048  # members that one block compares with leaders
 PERCENT = 85
 MOST_SENT = 2_000_000
@@ -158,12 +157,15 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``bucket, node, place`` of the buckets with two classes or more; places from 1 in the order of the names."""
-    all_rows = write_checkpoint(buckets(classes))
-    shared = all_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    rows = write_checkpoint(all_rows.join(shared, "bucket"))
-    places = ordered_rank(rows, ["bucket"], F.hex(F.substring("node", 1, 1)), ["node"], "place")
-    return write_checkpoint(places)
+    """``bucket, size, node`` of the buckets with two classes or more."""
+    rows = buckets(classes)
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return write_checkpoint(rows.join(shared, "bucket"))
+
+
+def _place(node: Column, size: Column) -> Column:
+    """Where a class stands in a bucket: its name as a number from 0 to the bucket's size."""
+    return F.conv(F.hex(F.substring(node, 1, 6)), 16, 10).cast("double") / F.lit(2.0**48) * size
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -212,7 +214,7 @@ class _Block:
 
 def _likely(rows: _Block, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (x, y) of rows that are not linked, meet here first and reach the estimate."""
-    on = (rows.comp[x] != rows.comp[y]) & (rows.place[x] < rows.place[y])
+    on = (rows.comp[x] != rows.comp[y]) & ((rows.place[x] < rows.place[y]) | (rows.place[x] == rows.place[y]) & (rows.node[x] < rows.node[y]))
     x, y = x[on], y[on]
     small, large = np.minimum(rows.n[x], rows.n[y]), np.maximum(rows.n[x], rows.n[y])
     same = (rows.sketch[x] == rows.sketch[y]).sum(axis=1)
@@ -304,18 +306,17 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
     sets = write_checkpoint(sets_of(involved.select("node", "key.a", "key.b")))
     labels = involved.select("node", F.col("node").alias("comp"))
     least = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-    links, done, count = None, 0, 1
+    place, chunks = _place(F.col("node"), F.col("size")), F.ceil(F.col("size") / CHUNK)
+    links, done, count = None, 0, FIRST_LEADERS
     while True:
-        known = members.join(labels, "node")
-        state = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("place").alias("size"))
-        still = write_checkpoint(state.where((F.col("low") != F.col("high")) & (F.col("size") > done + 1)).select("bucket", "size"))
+        known = members.join(labels.join(involved.select("node", "n", "sketch"), "node"), "node")
+        open_buckets = known.where(F.col("size") > done).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        still = write_checkpoint(open_buckets.select("bucket"))
         if still.isEmpty():
             break
-        rows = known.where(F.col("place") > done).join(still, "bucket").join(involved.select("node", "n", "sketch"), "node")
-        chunk = lambda c: F.floor((c - 1) / CHUNK)
-        each = rows.withColumn("chunk", chunk(F.col("place"))).withColumn("kind", F.lit(1)).drop("size")
-        lead = rows.where(F.col("place") <= done + count).withColumn(
-            "chunk", F.explode(F.sequence(chunk(F.col("place")), chunk(F.col("size"))))).withColumn("kind", F.lit(0)).drop("size")
+        rows = known.withColumn("place", place).where(F.col("place") >= done).join(still, "bucket")
+        each = rows.withColumn("chunk", F.floor(F.col("place") / F.col("size") * chunks)).withColumn("kind", F.lit(1))
+        lead = each.where(F.col("place") < done + count).withColumn("kind", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.col("chunk"), chunks - 1)))
         pairs = write_checkpoint(_candidates(each.unionByName(lead), least))
         found = write_checkpoint(_verified(pairs, sets))
         links = found if links is None else links.unionByName(found)
