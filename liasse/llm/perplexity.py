@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import whole_text, write_checkpoint
 
@@ -132,9 +133,8 @@ def _sums(texts: list[str | None], keys: np.ndarray, values: np.ndarray, order:
 def perplexities(docs: DataFrame, values: DataFrame, order: int = ORDER, most_sent: int = MOST_SENT) -> DataFrame:
     """``row`` (the input's columns), ``chars`` and ``perplexity`` per character."""
     rows = docs.select(whole_text(F.col("text")).alias("text"), F.struct("*").alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
     names = ["row", "chars", "bits"]
-    schema = f"row {kind}, chars long, bits double"
+    schema = StructType([rows.schema["row"], StructField("chars", LongType()), StructField("bits", DoubleType())])
     values = write_checkpoint(values)
     if values.count() <= most_sent:
         table = values.toArrow()
@@ -156,7 +156,7 @@ def perplexities(docs: DataFrame, values: DataFrame, order: int = ORDER, most_se
     return found.select("row", "chars", F.when(F.col("chars") > 0, F.pow(F.lit(2.0), -F.col("bits") / n)).alias("perplexity"))
 
 
-def _by_blocks(rows: DataFrame, values: DataFrame, order: int, names: list[str], schema: str) -> DataFrame:
+def _by_blocks(rows: DataFrame, values: DataFrame, order: int, names: list[str], schema: StructType) -> DataFrame:
     """Each block of documents meets the values of its own n-grams only."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     placed = rows.withColumn("block", F.pmod(F.xxhash64("text", F.rand(7)), F.lit(max(1, -(-chars // BLOCK_CHARS)))).cast("long"))

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import whole_text, write_checkpoint
 
@@ -272,8 +273,7 @@ def differences(docs: DataFrame, ratios: Ratios, most_sent: int = MOST_SENT) ->
                                                  names=[*batch.schema.names[1:], "n_words", "difference"])
 
     rows = docs.select(whole_text(F.col("text")).alias("text"), F.struct("*").alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, n_words long, difference double")
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("n_words", LongType()), StructField("difference", DoubleType())]))
 
 
 def _differences_by_joins(docs: DataFrame, ratios: Ratios) -> DataFrame:
