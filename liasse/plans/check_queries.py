@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..operators import acts as a, crosscheck as k, extraction as x, statements as s
+from ..operators import acts as a, crosscheck as k, extraction as x, filters as f, statements as s
 from .custody_queries import with_details
 from .person_queries import linked
 from .registry import Views, norm_sql, query
@@ -94,11 +94,11 @@ def confrontations(d):
     return s.confrontations(d.declarations, d.persons)
 
 
-@query("shared_identifiers", views=("pages",), ctes=IDENTIFIERS_CTE, sql="""
+@query("shared_identifiers", views=("pages", "pieces"), ctes=IDENTIFIERS_CTE, sql="""
 , o_s AS (SELECT dossier_id, type, cle, count(*) AS pages, arg_min(valeur_brute, numero_global) AS valeur FROM o_ids GROUP BY ALL HAVING count(DISTINCT numero_global) >= 2)
 SELECT dossier_id, type, cle, valeur, pages, numero_global AS page, citation, valeur_brute FROM o_ids JOIN o_s USING (dossier_id, type, cle)""")
 def shared_identifiers(d):
-    return k.shared_identifiers(x.identifier_mentions(d.pages))
+    return k.shared_identifiers(x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)))
 
 
 @query("acts_dated_differently")
@@ -106,7 +106,7 @@ def acts_dated_differently(d):
     return k.dated_differently(d.acts, d.persons, d.act_pieces)
 
 
-@query("near_identifiers", views=("pages",), ctes=IDENTIFIERS_CTE, sql="""
+@query("near_identifiers", views=("pages", "pieces"), ctes=IDENTIFIERS_CTE, sql="""
 , o_u AS (SELECT dossier_id, type, cle, min(numero_global) AS page, arg_min(valeur_brute, numero_global) AS valeur, arg_min(citation, numero_global) AS citation, count(*) AS pages
    FROM o_ids WHERE type IN ('Téléphone', 'Plaque d''immatriculation') GROUP BY ALL),
 o_p AS (SELECT a.dossier_id, a.type, a.cle AS ka, b.cle AS kb, a.valeur AS va, b.valeur AS vb, a.page AS page_a, b.page AS page_b, a.citation AS citation_a, b.citation AS citation_b, a.pages AS pages_a, b.pages AS pages_b,
@@ -118,7 +118,7 @@ WHERE (len(ds) = 1 OR (len(ds) = 2 AND ds[2] = ds[1] + 1 AND substr(ka, ds[1], 1
 AND NOT EXISTS (SELECT 1 FROM o_ids i JOIN o_ids j ON i.dossier_id = j.dossier_id AND i.numero_global = j.numero_global AND i.type = j.type
   WHERE i.dossier_id = o_p.dossier_id AND i.type = o_p.type AND i.cle = ka AND j.cle = kb)""")
 def near_identifiers(d):
-    return k.near_identifiers(x.identifier_mentions(d.pages), d.pages)
+    return k.near_identifiers(x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)), d.pages)
 
 
 @query("acts_before_opening", views=("acts", "act_pieces"), sql="""
@@ -137,23 +137,25 @@ def acts_before_opening(d):
 
 @query("seals_described_differently")
 def seals_described_differently(d):
-    return k.seal_conflicts(x.seal_mentions(d.pages))
+    return k.seal_conflicts(x.seal_mentions(f.procedure_pages(d.pages, d.pieces)))
 
 
 def rule_rows(d: Views):
     return k.rule_contradictions(
         k.dated_differently(d.acts, d.persons, d.act_pieces), k.before_opening(d.acts, d.act_pieces),
-        k.near_identifiers(x.identifier_mentions(d.pages), d.pages), k.seal_conflicts(x.seal_mentions(d.pages)))
+        k.near_identifiers(x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)), d.pages), k.seal_conflicts(x.seal_mentions(f.procedure_pages(d.pages, d.pieces))))
 
 
 @query("all_contradictions")
 def all_contradictions(d):
-    from ..functions.scale import cut_lineage
+    from ..functions.scale import cut_lineage, ordered_rank
 
     rules = cut_lineage(rule_rows(d))
     # Half of the rule results come back as proposals, and each proposal twice.
     again = rules.filter("regle in ('K3', 'K4')").select("dossier_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copie"), "titre", "page", "citation", "regle", "domaine")
-    ordered = again.withColumn("ordre", F.abs(F.hash("titre")) % 100000 * 2 + F.col("copie"))
+    # Equal titles of one case share a number, others never do.
+    titles = ordered_rank(again.select("dossier_id", "titre").distinct(), ["dossier_id"], F.substring("titre", 1, 12), ["titre"], "rang")
+    ordered = again.join(titles, ["dossier_id", "titre"]).withColumn("ordre", F.col("rang") * 2 + F.col("copie"))
     changed = F.when(F.col("regle") == "K4", F.concat(F.lit("Autre "), F.col("citation"))).otherwise(F.col("citation"))
     proposed = ordered.select("dossier_id", "ordre", "titre", F.lit("").alias("description"), "domaine", "page", changed.alias("citation"))
     return k.all_contradictions(rules, proposed)

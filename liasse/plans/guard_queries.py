@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab as v
 from ..functions.scale import cut_lineage
-from ..operators import custody as c, extraction as x, findings as r, guards as g, retrieval as q, reports as rp, segmentation as sg
+from ..operators import custody as c, extraction as x, filters as f, findings as r, guards as g, retrieval as q, reports as rp, segmentation as sg
 from ..sources import sinks, pages as s
 from ..streaming import jobs
 from .custody_queries import CUSTODY_CTE, custodies, with_details
@@ -294,7 +294,7 @@ def case_payload(d):
     persons = d.persons.withColumn("ordre", F.concat(F.when(F.col("est_client"), "0").otherwise("1"), "role", "nom"))
     return sinks.case_payload({
         "personnes": (persons, ["ordre"]), "chronologie_procedure": (c.act_chronology(d.acts.filter("statut_verif = 'verifie'")), ["ordre"]),
-        "index_pieces": (d.pieces, ["page_debut"]), "recoupements": (x.identifier_mentions(d.pages), ["numero_global", "type", "cle"])})
+        "index_pieces": (d.pieces, ["page_debut"]), "recoupements": (x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)), ["numero_global", "type", "cle"])})
 
 
 # --- streaming ---------------------------------------------------------------

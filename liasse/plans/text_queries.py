@@ -309,9 +309,11 @@ _IDS = {
     "Adresse": (r"(?i)\b\d{1,4}[,]?\s+(?:rue|avenue|boulevard|chemin|impasse|allée|place|route|quai|cours|zone\s+industrielle|zone\s+d[''’]activit[ée])\s+[A-Za-zÀ-ÿ''\-]+(?:\s+[A-Za-zÀ-ÿ''\-]+){0,4}",
                 "lower(regexp_replace(trim(v), '\\s+', ' ', 'g'))"),
 }
+PROCEDURE_CTE = ("o_procedure AS (SELECT * FROM cf_pages p WHERE NOT EXISTS (SELECT 1 FROM cf_pieces i WHERE i.dossier_id = p.dossier_id "
+                 f"AND i.type IN ({_list(v.TYPES_HORS_PROCEDURE)}) AND p.numero_global BETWEEN i.page_debut AND i.page_fin))")
 IDENTIFIERS_CTE = ",\n".join(
-    [f"o_i{i} AS (SELECT dossier_id, numero_global, texte, '{kind}' AS type, unnest(regexp_extract_all(texte, '{p}')) AS v0, "
-     f"generate_subscripts(regexp_extract_all(texte, '{p}'), 1) - 1 AS ordre FROM cf_pages)"
+    [PROCEDURE_CTE] + [f"o_i{i} AS (SELECT dossier_id, numero_global, texte, '{kind}' AS type, unnest(regexp_extract_all(texte, '{p}')) AS v0, "
+     f"generate_subscripts(regexp_extract_all(texte, '{p}'), 1) - 1 AS ordre FROM o_procedure)"
      for i, (kind, (p, _)) in enumerate(_IDS.items())]
     + ["o_ids0 AS (" + " UNION ALL ".join(
         f"SELECT dossier_id, numero_global, texte, type, v AS valeur_brute, {norm} AS cle, ordre FROM (SELECT *, regexp_replace(trim(v0), ',+$', '') AS v FROM o_i{i})"
@@ -321,14 +323,14 @@ IDENTIFIERS_CTE = ",\n".join(
        "QUALIFY row_number() OVER (PARTITION BY dossier_id, numero_global, type, cle ORDER BY ordre) = 1)"])
 
 
-@query("identifier_mentions", views=("pages",), ctes=IDENTIFIERS_CTE, sql="SELECT * FROM o_ids")
+@query("identifier_mentions", views=("pages", "pieces"), ctes=IDENTIFIERS_CTE, sql="SELECT * FROM o_ids")
 def identifier_mentions(d):
-    return x.identifier_mentions(d.pages)
+    return x.identifier_mentions(f.procedure_pages(d.pages, d.pieces))
 
 
 @query("seal_mentions")
 def seal_mentions(d):
-    return x.seal_mentions(d.pages).withColumn("couleurs", F.array_join("couleurs", ",")).withColumn(
+    return x.seal_mentions(f.procedure_pages(d.pages, d.pieces)).withColumn("couleurs", F.array_join("couleurs", ",")).withColumn(
         "mesures", F.array_join("mesures", ","))
 
 

@@ -357,21 +357,15 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**tables)})" for n in order)
 
 
-_TABLE_KEYS = {
-    "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "lineitem": "l_orderkey", "part": "p_partkey",
-}
+# Tables of keys that case files of text are made from.
+_TABLE_KEYS = {"orders": "o_orderkey", "events": "event_id", "lineitem": "l_orderkey", "part": "p_partkey"}
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when it comes in fewer files.
-
-    A few megabytes of keys expand to case files of text: one task per input
-    file would do all the text work of a small table on one core.
-    """
+    """A driver table; keys that text is made from are dealt out first, while they are small."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _TABLE_KEYS and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, _TABLE_KEYS[name])
+    if name in _TABLE_KEYS:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), _TABLE_KEYS[name])
     return df
 
 
