@@ -9,11 +9,10 @@ from liasse.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session("tests", "4")
-    # Tiny tables: planning and code generation would be most of the time.
-    for key, value in (("spark.sql.shuffle.partitions", "2"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.codegen.wholeStage", "false")):
-        session.conf.set(key, value)
+    session.conf.set("spark.sql.shuffle.partitions", "2")  # tiny tables
+    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
 
