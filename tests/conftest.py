@@ -12,7 +12,7 @@ from liasse.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session("tests", "4")
     session.conf.set("spark.sql.shuffle.partitions", "2")  # tiny tables
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
 
