@@ -11,7 +11,9 @@ from liasse.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session("tests", "4")
-    session.conf.set("spark.sql.shuffle.partitions", "2")  # tiny tables
+    # Tiny tables: compiling each stage would be most of the time.
+    for key, value in (("spark.sql.shuffle.partitions", "2"), ("spark.sql.codegen.wholeStage", "false")):
+        session.conf.set(key, value)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
