@@ -36,14 +36,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import write_checkpoint
 
 SHINGLE = 5
-REGISTERS = 128
+REGISTERS = 256
 BANDS, ROWS = 25, 5
 BASE = 1.001
 RATE = 20.0
 FIRST_LEADERS, GROWTH = 2, 8
+MERGES = 2  # times that labels are joined between rounds; what is left only costs comparisons
 CHUNK = 2048  # members that one block compares with leaders
 PERCENT = 85
 MOST_SENT = 2_000_000
+SENT_BYTES = 16 << 20  # sets of all compared classes; above, they are shuffled
 WORDS_KEPT = 500_000  # words a task remembers; affects speed only
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -269,6 +271,8 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
+    if (sets.agg(F.sum(F.length("items"))).first()[0] or 0) <= SENT_BYTES:
+        sets = F.broadcast(sets)
     both = pairs.join(sets.select(F.col("node").alias("one"), F.col("items").alias("a")), "one").join(
         sets.select(F.col("node").alias("two"), F.col("items").alias("b")), "two")
 
@@ -308,8 +312,9 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
     least = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
     place, chunks = _place(F.col("node"), F.col("size")), F.ceil(F.col("size") / CHUNK)
     links, done, count = None, 0, FIRST_LEADERS
+    sketches = involved.select("node", "n", "sketch")
     while True:
-        known = members.join(labels.join(involved.select("node", "n", "sketch"), "node"), "node")
+        known = members.join(labels, "node")
         open_buckets = known.where(F.col("size") > done).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         still = write_checkpoint(open_buckets.select("bucket"))
         if still.isEmpty():
@@ -317,10 +322,12 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
         rows = known.withColumn("place", place).where(F.col("place") >= done).join(still, "bucket")
         each = rows.withColumn("chunk", F.floor(F.col("place") / F.col("size") * chunks)).withColumn("kind", F.lit(1))
         lead = each.where(F.col("place") < done + count).withColumn("kind", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.col("chunk"), chunks - 1)))
-        pairs = write_checkpoint(_candidates(each.unionByName(lead), least))
+        each, lead = each.drop("size"), lead.drop("size")
+        pairs = write_checkpoint(_candidates(each.unionByName(lead).join(sketches, "node"), least))
         found = write_checkpoint(_verified(pairs, sets))
         links = found if links is None else links.unionByName(found)
-        labels, _ = _joined_labels(labels, found)
+        for _ in range(MERGES):
+            labels, _ = _joined_labels(labels, links)
         done, count = done + count, count * GROWTH
     while links is not None:
         labels, changed = _joined_labels(labels, links)
