@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 SPACE = "▁"
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -348,21 +348,28 @@ def byte_table(model: Model) -> list[bytes]:
     return table
 
 
-def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of each whole text; an existing column of that name is replaced."""
-    kept = [c for c in df.columns if c != ids]
+def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text; an existing column of that name is replaced.
+
+    ``round_trip`` names a column for whether decoding the ids gives the text back.
+    """
+    kept = [c for c in df.columns if c not in (ids, round_trip)]
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Encoded()
+        memory, table = Encoded(), byte_table(model)
         for whole in batches:
             for start in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(start, DOCS_AT_ONCE)
-                values, ends = encode_batch(model, batch.column(at).to_pylist(), memory)
+                texts = batch.column(at).to_pylist()
+                values, ends = encode_batch(model, texts, memory)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values), mask=batch.column(at).is_null())
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+                more = [] if round_trip is None else [pa.array(
+                    [t is None or decode_ids(model, values[i:j], table) == t for t, i, j in zip(texts, [0, *ends[:-1].tolist()], ends.tolist())], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], names=[*batch.schema.names, ids, *[round_trip] * len(more)])
 
-    schema = StructType([*df.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    checked = [] if round_trip is None else [StructField(round_trip, BooleanType())]
+    schema = StructType([*df.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType())), *checked])
     return df.select(*kept).mapInArrow(run, schema)
 
 
