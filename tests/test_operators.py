@@ -327,3 +327,25 @@ def test_ingest_stream_takes_a_file_in_two_parts_and_a_failed_batch_again(spark,
     run()
     assert [p_["page_fichier"] for p_ in spark.read.parquet(f"{root}/pages").orderBy("numero_global").collect()] == [1, 2]
     assert sorted((o["id"], o["methode_verif"]) for o in spark.read.parquet(f"{root}/out").collect()) == [(1, "exacte"), (2, "exacte")]
+
+
+def test_long_names_are_found_whole(spark):
+    name = "Jean Paul Marie DE LA TOUR"
+    pages = spark.createDataFrame([("A", 1, 1, "Entendu ce jour : jean paul marie de la tour, né le 1er mai.\nPuis DE LA TOUR Jean Paul Marie signe."),
+                                   ("A", 1, 2, "Jean Paul n'est pas cité.")], "dossier_id string, piece_id int, numero_global int, texte string")
+    persons = spark.createDataFrame([("A", "P1", name, "temoin"), ("A", "P2", "Luc MARTIN", "temoin")], "dossier_id string, personne_id string, nom string, role string")
+    found = p.known_names(pages, persons).orderBy("position").collect()
+    assert [(f_["personne_id"], f_["page"]) for f_ in found] == [("P1", 1), ("P1", 1)]
+    nine = "Un Deux Trois Quatre Cinq Six Sept Huit NEUF"
+    asked = spark.createDataFrame([("A", 1, 1, nine, "témoin"), ("A", 1, 2, "Un Deux ABSENT", "témoin")], "dossier_id string, piece_id int, tranche int, nom string, role string")
+    text = spark.createDataFrame([("A", 1, 1, "Neuf huit sept six cinq"), ("A", 1, 2, "quatre trois deux un")], "dossier_id string, piece_id int, numero_global int, texte string")
+    kept = p.guard_persons(asked, persons.limit(0), text).collect()
+    assert [k_["nom"] for k_ in kept] == [nine]
+
+
+def test_turns_on_pages_of_many_lines(spark):
+    lines = "\n".join(["."] * 100_001)
+    pages = spark.createDataFrame([("A", 1, 1, f"Question : Où ?\n{lines}\nRéponse : Ici."), ("A", 1, 2, "Question : Quand ?\nRéponse : Hier.")],
+                                  "dossier_id string, piece_id int, numero_global int, texte string")
+    pairs = {(x_["page"], x_["citation"]) for x_ in st.qa_pairs(pages).collect()}
+    assert pairs == {(1, "Ici."), (2, "Hier.")}
