@@ -156,11 +156,16 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join: the rounds have many joins, whose small sides would each be built and held on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _members(classes: DataFrame) -> DataFrame:
     """``bucket, size, node`` of the buckets with two classes or more."""
     rows = buckets(classes)
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return write_checkpoint(rows.join(shared, "bucket"))
+    return write_checkpoint(_merged(rows, shared, "bucket"))
 
 
 def _place(node: Column, size: Column) -> Column:
@@ -269,8 +274,8 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("one"), F.col("items").alias("a")), "one").join(
-        sets.select(F.col("node").alias("two"), F.col("items").alias("b")), "two")
+    one = _merged(pairs, sets.select(F.col("node").alias("one"), F.col("items").alias("a")), "one")
+    both = _merged(one, sets.select(F.col("node").alias("two"), F.col("items").alias("b")), "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -289,20 +294,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _joined_labels(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels (``node, comp``) after each component takes the least label that a link leads to, once; and the links between components."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
-    edges = links.join(of("one"), "one").join(of("two"), "two").where("c_one <> c_two").select("c_one", "c_two").distinct()
+    edges = _merged(_merged(links, of("one"), "one"), of("two"), "two").where("c_one <> c_two").select("c_one", "c_two").distinct()
     both = edges.unionByName(edges.select(F.col("c_two").alias("c_one"), F.col("c_one").alias("c_two")))
     down = both.groupBy("c_one").agg(F.min("c_two").alias("to")).where("to < c_one")
     down = write_checkpoint(down)
     # A label that takes another one takes that one's next label at once.
-    jump = down.join(down.select(F.col("c_one").alias("to"), F.col("to").alias("further")), "to", "left").select("c_one", F.coalesce("further", "to").alias("new"))
-    moved = labels.join(jump, labels["comp"] == jump["c_one"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    jump = _merged(down, down.select(F.col("c_one").alias("to"), F.col("to").alias("further")), "to", "left").select("c_one", F.coalesce("further", "to").alias("new"))
+    moved = _merged(labels, jump.withColumnRenamed("c_one", "comp"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
     return write_checkpoint(moved), down
 
 
 def link_classes(classes: DataFrame, sets_of) -> DataFrame:
     """``node, comp`` for the classes that share a bucket with another one; linked classes have one ``comp``."""
     members = _members(classes)
-    involved = write_checkpoint(members.select("node").distinct().join(classes.select("node", "n", "sketch", "key"), "node"))
+    involved = write_checkpoint(_merged(members.select("node").distinct(), classes.select("node", "n", "sketch", "key"), "node"))
     sets = write_checkpoint(sets_of(involved.select("node", "key.a", "key.b")))
     labels = involved.select("node", F.col("node").alias("comp"))
     least = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
@@ -310,16 +315,16 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
     links, done, count = None, 0, FIRST_LEADERS
     sketches = involved.select("node", "n", "sketch")
     while True:
-        known = members.join(labels, "node")
+        known = _merged(members, labels, "node")
         open_buckets = known.where(F.col("size") > done).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         still = write_checkpoint(open_buckets.select("bucket"))
         if still.isEmpty():
             break
-        rows = known.withColumn("place", place).where(F.col("place") >= done).join(still, "bucket")
+        rows = _merged(known.withColumn("place", place).where(F.col("place") >= done), still, "bucket")
         each = rows.withColumn("chunk", F.floor(F.col("place") / F.col("size") * chunks)).withColumn("kind", F.lit(1))
         lead = each.where(F.col("place") < done + count).withColumn("kind", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.col("chunk"), chunks - 1)))
         each, lead = each.drop("size"), lead.drop("size")
-        pairs = write_checkpoint(_candidates(each.unionByName(lead).join(sketches, "node"), least))
+        pairs = write_checkpoint(_candidates(_merged(each.unionByName(lead), sketches, "node"), least))
         found = write_checkpoint(_verified(pairs, sets))
         links = found if links is None else links.unionByName(found)
         labels, _ = _joined_labels(labels, links)
@@ -337,12 +342,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = write_checkpoint(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min(F.struct("a", "b")).alias("key")))
     labels = link_classes(classes, lambda wanted: _sets(docs, wanted, doc_id, text))
-    named = classes.select("node", "least").join(labels, "node")
+    named = _merged(classes.select("node", "least"), labels, "node")
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    linked = named.join(smallest, "comp").select("node", "component_id")
-    of_class = classes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    linked = _merged(named, smallest, "comp").select("node", "component_id")
+    of_class = _merged(classes.select("node", "least"), linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = rows.select("doc_id", "a", "b", F.col("n").alias("n_shingles"), "node").join(of_class, "node", "left").withColumn("component_id", component)
+    out = _merged(rows.select("doc_id", "a", "b", F.col("n").alias("n_shingles"), "node"), of_class, "node", "left").withColumn("component_id", component)
     return out.select("doc_id", "a", "b", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
