@@ -34,6 +34,8 @@ MARGIN = 1.1  # times that quantile: unseen text is a little less likely than th
 LEAST_TRUSTED = 50
 MOST_SENT = 8_000_000
 BLOCK_CHARS = 8_000_000
+DOCS_AT_ONCE = 512
+GRAMS_HELD = 2_000_000  # distinct n-grams a task counts before it passes them on
 START = "\u0002"  # stands before the first character of a text
 
 
@@ -56,19 +58,56 @@ def _hashes(whole: str, at: np.ndarray, order: int) -> np.ndarray:
     return h[at].view(np.int64)
 
 
+class _Counted:
+    """Distinct n-grams of a task so far: sorted hashes, their strings and their counts in trusted rows."""
+
+    def __init__(self) -> None:
+        self.keys, self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str | None], trusted: np.ndarray, order: int) -> None:
+        whole, at, counts = _codes(texts, order)
+        h = _hashes(whole, at, order)
+        known = np.repeat(trusted, counts)
+        distinct, n = np.unique(h[known], return_counts=True)
+        fresh = np.setdiff1d(np.unique(h[~known]), distinct, assume_unique=True)
+        keys, n = np.concatenate([distinct, fresh]), np.concatenate([n, np.zeros(len(fresh), np.int64)])
+        place = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        self.n[place[old]] += n[old]
+        keys, n = keys[~old], n[~old]
+        if len(keys):
+            # Where the new ones stand: a last writer for each of many slots; what loses its slot is looked for alone.
+            slots = np.full(1 << 22, -1, np.int64)
+            slots[h.view(np.uint64) >> np.uint64(42)] = np.arange(len(h))
+            found = slots[keys.view(np.uint64) >> np.uint64(42)]
+            lost = np.flatnonzero(h[found] != keys)
+            if len(lost):
+                sure = np.flatnonzero(np.isin(h, keys[lost]))
+                by = sure[np.argsort(h[sure], kind="stable")]
+                found[lost] = by[np.searchsorted(h[by], keys[lost])]
+            grams = np.array([whole[i:i + order] for i in at[found].tolist()] + [None], object)[:-1]
+            keys, grams, n = np.concatenate([self.keys, keys]), np.concatenate([self.grams, grams]), np.concatenate([self.n, n])
+            by = np.argsort(keys)
+            self.keys, self.grams, self.n = keys[by], grams[by], n[by]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.grams.tolist(), pa.string()), pa.array(self.keys), pa.array(self.n)], names=["gram", "hash", "n"])
+
+
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``gram, hash, n``: every n-gram of ``text`` with its count in rows that are ``trusted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, at, counts = _codes(batch.column(0).to_pylist(), order)
-            trusted = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)
-            h = _hashes(whole, at, order)
-            order_of = np.argsort(h, kind="stable")
-            sorted_h = h[order_of]
-            edge = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1])) if len(h) else np.zeros(0, np.int64)
-            n = np.add.reduceat(trusted[order_of].astype(np.int64), edge) if len(edge) else np.zeros(0, np.int64)
-            grams = [whole[i:i + order] for i in at[order_of[edge]].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(sorted_h[edge]), pa.array(n)], names=["gram", "hash", "n"])
+        seen = _Counted()
+        for whole in batches:
+            for start in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(start, DOCS_AT_ONCE)
+                seen.add(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), order)
+                if len(seen.keys) > GRAMS_HELD:
+                    yield seen.batch()
+                    seen = _Counted()
+        yield seen.batch()
 
     found = docs.select(whole_text(F.col("text")).alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(run, "gram string, hash long, n long")
     return found.groupBy("gram", "hash").agg(F.sum("n").alias("n"))
@@ -122,12 +161,40 @@ def gram_values(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return grams.select("gram", "hash").join(value, "gram").select("hash", F.log2("p").alias("value"))
 
 
-def _sums(texts: list[str | None], keys: np.ndarray, values: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+class _Values:
+    """A table of hashes with their values, for look-ups of many that are all in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(10, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, used = np.zeros(1 << bits, np.int64), np.zeros(1 << bits), np.zeros(1 << bits, bool)
+        left, place = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            slot, first = np.unique(place[left], return_index=True)
+            free = ~used[slot]
+            won = left[first[free]]
+            self.keys[slot[free]], self.values[slot[free]], used[slot[free]] = keys[won], values[won], True
+            left = np.setdiff1d(left, won, assume_unique=True)
+            place[left] = (place[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        place = self._home(keys)
+        out = self.values[place]
+        wrong = np.flatnonzero(self.keys[place] != keys)
+        while len(wrong):
+            place[wrong] = (place[wrong] + 1) & self.mask
+            out[wrong] = self.values[place[wrong]]
+            wrong = wrong[self.keys[place[wrong]] != keys[wrong]]
+        return out
+
+
+def _sums(texts: list[str | None], values: _Values, order: int) -> tuple[np.ndarray, np.ndarray]:
     whole, at, counts = _codes(texts, order)
-    h = _hashes(whole, at, order)
-    distinct, place = np.unique(h, return_inverse=True)
-    known = values[np.searchsorted(keys, distinct)] if len(distinct) else np.zeros(0)
-    return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), known[place], len(counts))
+    found = values.of(_hashes(whole, at, order))
+    return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), found, len(counts))
 
 
 def perplexities(docs: DataFrame, values: DataFrame, order: int = ORDER, most_sent: int = MOST_SENT) -> DataFrame:
@@ -138,15 +205,14 @@ def perplexities(docs: DataFrame, values: DataFrame, order: int = ORDER, most_se
     values = write_checkpoint(values)
     if values.count() <= most_sent:
         table = values.toArrow()
-        by = np.argsort(table["hash"].to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast((table["hash"].to_numpy()[by], table["value"].to_numpy()[by]))
+        sent = docs.sparkSession.sparkContext.broadcast((table["hash"].to_numpy(), table["value"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, known = sent.value
+            known = _Values(*sent.value)
             for whole in batches:
-                for start in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(start, 2048)
-                    counts, sums = _sums(batch.column(0).to_pylist(), keys, known, order)
+                for start in range(0, whole.num_rows, DOCS_AT_ONCE):
+                    batch = whole.slice(start, DOCS_AT_ONCE)
+                    counts, sums = _sums(batch.column(0).to_pylist(), known, order)
                     yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts), pa.array(sums)], names=names)
 
         found = rows.mapInArrow(run, schema)
@@ -172,8 +238,7 @@ def _by_blocks(rows: DataFrame, values: DataFrame, order: int, names: list[str],
     asked = placed.select("text", "block").mapInArrow(grams, "block long, hash long").distinct().join(values, "hash")
 
     def run(key, docs: pa.Table, known: pa.Table) -> pa.Table:
-        by = np.argsort(known["hash"].to_numpy())
-        counts, sums = _sums(docs["text"].to_pylist(), known["hash"].to_numpy()[by], known["value"].to_numpy()[by], order)
+        counts, sums = _sums(docs["text"].to_pylist(), _Values(known["hash"].to_numpy(), known["value"].to_numpy()), order)
         return pa.Table.from_arrays([docs["row"], pa.array(counts), pa.array(sums)], names=names)
 
     return placed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
