@@ -9,7 +9,9 @@ with the n-grams of each block of documents.
 
 A document is kept when its perplexity is at most a quantile of the trusted
 documents' perplexities in its language; a language without ``LEAST_TRUSTED``
-trusted documents (null included) takes the quantile over all languages.
+trusted documents (null included) takes the quantile over all languages.  From
+``LEAST_TRUSTED`` documents on, the largest perplexity lies above the quantile,
+so one mislabelled document sets no threshold.
 
 A null text counts as empty; an empty one has no perplexity (null) and is kept.
 Repeated rows are judged one by one and alike.  Without trusted text the model
@@ -29,9 +31,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import whole_text, write_checkpoint
 
 ORDER = 4
-QUANTILE = 0.999
-MARGIN = 1.1  # times that quantile: unseen text is a little less likely than the text counted
-LEAST_TRUSTED = 50
+QUANTILE = 0.99
+LEAST_TRUSTED = 100  # of fewer, that quantile is the largest
 MOST_SENT = 8_000_000
 BLOCK_CHARS = 8_000_000
 DOCS_AT_ONCE = 512
@@ -244,10 +245,10 @@ def _by_blocks(rows: DataFrame, values: DataFrame, order: int, names: list[str],
     return placed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TRUSTED) -> tuple[DataFrame, float | None]:
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST_TRUSTED) -> tuple[DataFrame, float | None]:
     """``lang, most`` from the trusted rows of ``scored`` (lang, trusted, perplexity), and the one over all languages."""
     trusted = scored.where(F.col("trusted") & F.col("perplexity").isNotNull())
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin)
+    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = trusted.groupBy("lang").agg(cut.alias("most"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("lang").isNotNull())
     return by_lang.select("lang", "most"), trusted.agg(cut).first()[0]
 

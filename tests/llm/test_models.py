@@ -211,3 +211,13 @@ def test_perplexity_by_blocks_is_the_same(spark, labelled):
     assert len(sent) == 604 and (1000, 0, True) in sent
     assert perplexity.judge(docs.limit(0), labels).count() == 0
     assert all(r.kept for r in perplexity.judge(docs, labels.limit(0)).collect())
+
+
+def test_one_mislabelled_row_sets_no_threshold(spark):
+    # 100 trusted rows of one language, 61 of another; one of each is mislabelled.
+    rows = [("en", 4 + i / 100) for i in range(99)] + [("fr", 4 + i / 100) for i in range(60)] + [("en", 50.0), ("fr", 60.0)]
+    scored = spark.createDataFrame([(*r, True) for r in rows] + [("en", 99.0, False)], "lang string, perplexity double, trusted boolean")
+    by_lang, overall = perplexity.thresholds(scored)
+    assert {r.lang: r.most for r in by_lang.collect()} == {"en": 4.98}
+    few = scored.where("perplexity < 60")
+    assert overall == 50.0 and perplexity.thresholds(few)[1] == 4.98
