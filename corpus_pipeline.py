@@ -13,6 +13,8 @@ from liasse.llm.common import read
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+# Texts whose shingle sets have so much in common are near-duplicates; op1's query has a limit of its own.
+NEAR_PERCENT = 80
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return near_dedup.kept_documents(docs)
+    return near_dedup.kept_documents(docs, percent=NEAR_PERCENT)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

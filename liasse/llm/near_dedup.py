@@ -8,8 +8,8 @@ set: ``1 - log_b(min)`` rounded down.  Registers of a union are the larger ones
 of both, and two registers are equal about as often as the sets' similarity says.
 
 1. Documents with equal sets are one class; only classes are compared.
-2. ``BANDS`` bands of ``ROWS`` registers put classes in buckets.  A pair at the
-   limit shares none of them once in two million times.
+2. Bands of ``ROWS`` registers put classes in buckets, as many (``bands_for``)
+   that a pair at the limit shares none of them once in two million times.
 3. Within a bucket, classes are compared with leaders, about ``FIRST_LEADERS``
    at first and ``GROWTH`` times as many each round.  Classes that are linked already, directly
    or not, are not compared again, and a bucket whose classes are all linked is
@@ -37,12 +37,12 @@ from .common import write_checkpoint
 
 SHINGLE = 5
 REGISTERS = 256
-BANDS, ROWS = 25, 5
+ROWS, MISSED = 5, 5e-7  # registers of a band; share of pairs at the limit that may meet in no band
 BASE = 1.001
 RATE = 20.0
 FIRST_LEADERS, GROWTH = 2, 8
 CHUNK = 2048  # members that one block compares with leaders
-PERCENT = 85
+PERCENT = 85  # the limit of a link in op1's contract
 MOST_SENT = 2_000_000
 WORDS_KEPT = 500_000  # words a task remembers; affects speed only
 
@@ -92,10 +92,24 @@ def registers(found: np.ndarray) -> np.ndarray:
     return np.clip(1 + np.floor(-np.log(value) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """How many bands a limit needs (25 for 85, 37 for 80)."""
+    bands = 1 if percent >= 100 else int(np.ceil(np.log(MISSED) / np.log1p(-((percent / 100) ** ROWS))))
+    if bands * ROWS > REGISTERS:
+        raise ValueError(f"a limit of {percent} % takes {bands} bands of {ROWS}, a sketch has {REGISTERS} registers")
+    return bands
+
+
+def least_estimate(percent: int) -> float:
+    """Five standard errors below the limit."""
+    limit = percent / 100
+    return limit - 5 * (limit * (1 - limit) / REGISTERS) ** 0.5
+
+
+def band_keys(sketches: np.ndarray, bands: int) -> np.ndarray:
     """A key for each sketch and band."""
-    x = sketches[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2]) * _ODD
+    x = sketches[:, :bands * ROWS].reshape(-1, bands, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), x.shape[:2]) * _ODD
     for d in range(ROWS):
         key = _mix((key + x[:, :, d] + np.uint64(1)) * _ODD)
     return key.view(np.int64)
@@ -145,13 +159,13 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, a long, b long, n long, node binary, sketch binary")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame, bands: int) -> DataFrame:
     """``bucket, node`` for each class and band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS), bands)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(at)], names=["bucket", "node"])
     return classes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
 
@@ -161,9 +175,9 @@ def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> D
     return left.join(right.hint("merge"), on, how)
 
 
-def _members(classes: DataFrame) -> DataFrame:
+def _members(classes: DataFrame, bands: int) -> DataFrame:
     """``bucket, size, node`` of the buckets with two classes or more."""
-    rows = buckets(classes)
+    rows = buckets(classes, bands)
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return write_checkpoint(_merged(rows, shared, "bucket"))
 
@@ -217,27 +231,28 @@ class _Block:
         return out
 
 
-def _likely(rows: _Block, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _likely(rows: _Block, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (x, y) of rows that are not linked, meet here first and reach the estimate."""
     on = (rows.comp[x] != rows.comp[y]) & ((rows.place[x] < rows.place[y]) | (rows.place[x] == rows.place[y]) & (rows.node[x] < rows.node[y]))
     x, y = x[on], y[on]
+    least, bands = least_estimate(percent), bands_for(percent)
     small, large = np.minimum(rows.n[x], rows.n[y]), np.maximum(rows.n[x], rows.n[y])
     same = (rows.sketch[x] == rows.sketch[y]).sum(axis=1)
-    on = (100 * small >= PERCENT * large) & (same >= (least - 0.1) * REGISTERS)
+    on = (100 * small >= percent * large) & (same >= (least - 0.1) * REGISTERS)
     x, y = x[on], y[on]
     if len(x):
         on = estimate(rows.sketch[x], rows.sketch[y], rows.n[x], rows.n[y]) >= least
         x, y = x[on], y[on]
     if len(x):
-        common = band_keys(rows.sketch[x])
-        alike = common == band_keys(rows.sketch[y])
+        common = band_keys(rows.sketch[x], bands)
+        alike = common == band_keys(rows.sketch[y], bands)
         on = common[np.arange(len(x)), alike.argmax(axis=1)] == rows.bucket[x]
         x, y = x[on], y[on]
     return x, y
 
 
-def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """``one, two``: pairs of a leader and a later member of a bucket, not linked yet, whose estimate reaches ``least``.
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """``one, two``: pairs of a leader and a later member of a bucket, not linked yet, whose estimate is near ``percent`` or over it.
 
     ``rows`` holds leaders (``kind`` 0) before members (1) of each bucket and
     chunk.  A pair comes from its first common bucket only.
@@ -256,11 +271,11 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
                         waiting.append((np.repeat(few, end - middle), np.tile(np.arange(middle, end), len(few))))
                         pairs += len(waiting[-1][0])
                         if pairs > 100_000:
-                            for kept, found in zip((ones, twos), _likely(rows, *map(np.concatenate, zip(*waiting)), least)):
+                            for kept, found in zip((ones, twos), _likely(rows, *map(np.concatenate, zip(*waiting)), percent)):
                                 kept.append(found)
                             waiting, pairs = [], 0
                 if waiting:
-                    for kept, found in zip((ones, twos), _likely(rows, *map(np.concatenate, zip(*waiting)), least)):
+                    for kept, found in zip((ones, twos), _likely(rows, *map(np.concatenate, zip(*waiting)), percent)):
                         kept.append(found)
                 last = np.arange(edges[-1], len(rows.n))
                 held = rows.part(last[rows.kind[last] == 0])
@@ -272,7 +287,7 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
         "bucket", "chunk", "kind").mapInArrow(run, "one binary, two binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     one = _merged(pairs, sets.select(F.col("node").alias("one"), F.col("items").alias("a")), "one")
     both = _merged(one, sets.select(F.col("node").alias("two"), F.col("items").alias("b")), "two")
@@ -285,7 +300,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                    good.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
     return both.select("one", "two", "a", "b").mapInArrow(run, "one binary, two binary")
@@ -304,13 +319,12 @@ def _joined_labels(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     return write_checkpoint(moved), down
 
 
-def link_classes(classes: DataFrame, sets_of) -> DataFrame:
+def link_classes(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     """``node, comp`` for the classes that share a bucket with another one; linked classes have one ``comp``."""
-    members = _members(classes)
+    members = _members(classes, bands_for(percent))
     involved = write_checkpoint(_merged(members.select("node").distinct(), classes.select("node", "n", "sketch", "key"), "node"))
     sets = write_checkpoint(sets_of(involved.select("node", "key.a", "key.b")))
     labels = involved.select("node", F.col("node").alias("comp"))
-    least = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
     place, chunks = _place(F.col("node"), F.col("size")), F.ceil(F.col("size") / CHUNK)
     links, done, count = None, 0, FIRST_LEADERS
     sketches = involved.select("node", "n", "sketch")
@@ -324,8 +338,8 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
         each = rows.withColumn("chunk", F.floor(F.col("place") / F.col("size") * chunks)).withColumn("kind", F.lit(1))
         lead = each.where(F.col("place") < done + count).withColumn("kind", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.col("chunk"), chunks - 1)))
         each, lead = each.drop("size"), lead.drop("size")
-        pairs = write_checkpoint(_candidates(_merged(each.unionByName(lead), sketches, "node"), least))
-        found = write_checkpoint(_verified(pairs, sets))
+        pairs = write_checkpoint(_candidates(_merged(each.unionByName(lead), sketches, "node"), percent))
+        found = write_checkpoint(_verified(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
         labels, _ = _joined_labels(labels, links)
         done, count = done + count, count * GROWTH
@@ -336,12 +350,12 @@ def link_classes(classes: DataFrame, sets_of) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, a, b, n_shingles, component_id, kept`` for each row; ``a`` and ``b`` are the row's key."""
     rows = write_checkpoint(sketched(docs, doc_id, text))
     classes = write_checkpoint(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min(F.struct("a", "b")).alias("key")))
-    labels = link_classes(classes, lambda wanted: _sets(docs, wanted, doc_id, text))
+    labels = link_classes(classes, lambda wanted: _sets(docs, wanted, doc_id, text), percent)
     named = _merged(classes.select("node", "least"), labels, "node")
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     linked = _merged(named, smallest, "comp").select("node", "component_id")
@@ -351,9 +365,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", "a", "b", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and one of rows that agree in id and text."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, percent)
     gone = write_checkpoint(found.where(~F.col("kept")).select("a", "b").distinct())
     again = write_checkpoint(found.where("kept").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "b"))
     if gone.count() <= MOST_SENT:

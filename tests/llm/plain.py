@@ -45,7 +45,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
 
 
-def components(docs):
+def components(docs, percent=85):
     """doc_id -> smallest linked doc_id, over (doc_id, text) rows."""
     sets = [(i, shingles(t)) for i, t in docs]
     parent = {i: i for i, _ in docs}
@@ -57,7 +57,7 @@ def components(docs):
 
     for a, (i, s) in enumerate(sets):
         for j, t in sets[:a]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     return {i: find(i) for i, _ in docs}

@@ -63,3 +63,21 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tables):
         docs = stage(spark, docs, folder)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.encode_pieces(spark, docs, folder).count() == 0
+
+
+def test_near_duplicates_from_80_percent(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(12):
+        w = [f"w{k}x{i}" for i in range(104)]  # 100 shingles
+        rows.append((2 * k, " ".join(w)))
+        gone = 10 + k % 3  # of 100 shingles, at the end
+        rows.append((2 * k + 1, " ".join(w[:104 - gone] + [f"new{rng.randrange(10**9)}" for _ in range(gone)])))
+    sets = [plain.shingles(t) for _, t in rows]
+    alike = {round(len(a & b) / len(a | b), 2) for a, b in zip(sets[::2], sets[1::2])}
+    assert alike == {0.82, 0.8, 0.79}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    smallest = plain.components(rows, 80)
+    assert left == {i for i, _ in rows if smallest[i] == i} and len(left) == 16
+    assert len(set(plain.components(rows).values())) == 24
