@@ -13,7 +13,7 @@ substitutions leaves some mask untouched (a test tries all ways).  Items under
 
 Tokens are runs of letters and digits, in lower case.  Null and empty texts have
 none.  Rows that agree in id and text are one document; equal items are reported
-each.  The benchmark goes to the executors in blocks of at most ``BLOCK_SEEDS``
+each, items with one id (null included) at the best place of any.  The benchmark goes to the executors in blocks of at most ``BLOCK_SEEDS``
 hashes, each a broadcast of bounded size, however many items there are.
 """
 
@@ -93,9 +93,9 @@ def _hits(rows: DataFrame, items: DataFrame) -> DataFrame:
     piece = F.slice("h", start + 1, F.greatest(F.lit(0), F.col("diagonal") + F.col("item_tokens") - start))
     once = lined.select("doc_id", "key", "item_id", "item_tokens", "diagonal", piece.alias("piece")).groupBy(
         "key", "item_id", "item_tokens", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("piece").alias("piece"))
-    tokens = F.broadcast(items.select("item_id", F.col("h").alias("item")))
+    tokens = F.broadcast(items.select(F.col("item_id").alias("of"), F.col("h").alias("item")))
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
-    return once.join(tokens, "item_id").where(F.size("item") == F.col("item_tokens")).select(
+    return once.join(tokens, F.col("item_id").eqNullSafe(F.col("of"))).where(F.size("item") == F.col("item_tokens")).select(
         "doc_id", "key", "item_id", "item_tokens", "diagonal", agreeing(F.col("item"), F.col("piece"), skipped).alias("agreeing"))
 
 

@@ -161,3 +161,13 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_SEEDS", 100)
     found = decontamination.passages(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(6)}
+
+
+def test_decontamination_by_items_without_an_id(spark):
+    rng = random.Random(16)
+    items = [(None, prose(rng, 25)), (None, prose(rng, 12)), (3, prose(rng, 25))]
+    rows = [(k, prose(rng, 20) + " " + t + " " + prose(rng, 20)) for k, (_, t) in enumerate(items)] + [(9, prose(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.passages(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(0, None), (1, None), (2, 3)}
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, found).collect()] == [9]
