@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, line_dedup, near_dedup, perplexity, pieces, quality_rules, sharding, toxicity, url_filters, warc_revisits
+from . import (alignment, decontamination, line_dedup, near_dedup, perplexity, pieces, quality_rules, resampling, secret_scan, sharding, toxicity,
+               url_filters, warc_revisits)
 from .common import read, whole_text
 
 # A vocabulary file of a public tokenizer; read by the driver, sent to the tasks.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +139,45 @@ def _perplexity(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op1_near_dedup")
 def _near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents")).drop("a", "b")
+
+
+@_query("op11_token_alignment")
+def _token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs, vocabularies = read(spark, folder, "documents").select("doc_id", "text"), alignment.load(BYTES, PIECES)
+    return alignment.aligned(docs, vocabularies, alignment.count_links(docs, vocabularies)).drop("text")
+
+
+@_query("op12_secret_scan")
+def _secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(read(spark, folder, "documents"))
+
+
+RESAMPLING_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+aims AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+runs AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS f FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) r(k))),
+wanted AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS f FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM aims, range(1, 4) r(k))),
+bits(v, n, c) AS (SELECT v, 0, v FROM range(256) r(v) UNION ALL SELECT v, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8),
+crc AS MATERIALIZED (SELECT v, c FROM bits WHERE n = 8),
+grams AS MATERIALIZED (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM runs UNION SELECT f FROM wanted)),
+step(f, x, p, c) AS (SELECT f, x, 1, 4294967295::BIGINT FROM grams
+  UNION ALL SELECT f, x, p + 2, xor(s.c >> 8, t.c) FROM step s JOIN crc t ON t.v = xor(s.c & 255, ('0x' || substr(x, p, 2))::BIGINT) WHERE p < length(x)),
+hashed AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS b FROM step WHERE p > length(x)),
+source AS (SELECT b, count(*) AS s FROM runs JOIN hashed USING (f) GROUP BY b),
+target AS (SELECT b, count(*) AS t FROM wanted JOIN hashed USING (f) GROUP BY b),
+gains AS MATERIALIZED (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM source)::DOUBLE + 10000) /
+  ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM target), 0)::DOUBLE + 10000))))::BIGINT AS g
+  FROM range(10000) r(b) LEFT JOIN source USING (b) LEFT JOIN target USING (b)),
+weights AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS w FROM runs JOIN hashed USING (f) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (SELECT words.doc_id, len(words.w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weights.w, 0)::BIGINT AS weight,
+  coalesce(weights.w, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || words.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM drawn) * 5 // 100 THEN rank END AS rank FROM scored s LEFT JOIN drawn USING (doc_id)
+"""
+
+
+@_query("op13_resampling", RESAMPLING_SQL)
+def _resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
