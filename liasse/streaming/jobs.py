@@ -1,19 +1,15 @@
-"""Streaming jobs: page ingest with verification, and silent runs."""
+"""Streaming job: silent runs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import vocab as v
-from ..functions.scale import cut_lineage
-from ..operators.verification import verify
-from ..schemas import PAGES
-from ..sources.pages import number_pages, pages_with_marks
 
 
 def orphans(heartbeats: DataFrame, now) -> DataFrame:
@@ -63,33 +59,3 @@ def orphans_stream(heartbeats: DataFrame, lateness: str = "1 minute") -> DataFra
     return watched.groupBy("dossier_id").applyInPandasWithState(
         _watch, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
-
-def ingest_stream(spark: SparkSession, incoming: str, pages_path: str, quotes_path: str, out_path: str, checkpoint: str):
-    """Incremental ingest of arriving page files, each (case, file, page) once.
-
-    Every micro-batch drops the pages that have landed already, numbers and
-    marks the others and appends them under its number (``lot``).  The proposed
-    quotations are then verified on the pages that stand under that number, and
-    replace what an attempt before may have written for it.  So a file may
-    arrive in parts, and a batch that failed midway is simply run again.
-    """
-    raw = spark.readStream.schema(PAGES).parquet(incoming)
-    page = ["dossier_id", "fichier_source", "page_fichier"]
-    with_lot = StructType([*PAGES.fields, StructField("lot", LongType())])
-
-    def land(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        touched = batch.select("dossier_id").distinct()
-        existing = session.read.schema(PAGES).parquet(pages_path).join(touched, "dossier_id", "left_semi")
-        fresh = batch.dropDuplicates(page).join(existing.select(*page), page, "left_anti")
-        # Files of a batch are taken in order of name.
-        numbered = number_pages(fresh.drop("numero_global").withColumn("rang_fichier", F.col("fichier_source")), existing).drop("rang_fichier")
-        # Written first: what follows must not read the page table it appends to.
-        cut_lineage(pages_with_marks(numbered)).withColumn("lot", F.lit(epoch).cast("long")).write.mode("append").parquet(pages_path)
-        landed = session.read.schema(with_lot).parquet(pages_path).filter(F.col("lot") == epoch).drop("lot")
-        on_new = session.read.parquet(quotes_path).join(
-            landed.select("dossier_id", F.col("numero_global").alias("page")), ["dossier_id", "page"], "left_semi")
-        verify(on_new, landed).withColumn("lot", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("lot").parquet(out_path)
-
-    return raw.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -296,39 +296,6 @@ def test_orphans_batch(spark):
     assert got == {"b", "d"}
 
 
-def test_ingest_stream_lands_each_page_once(spark):
-    root = tempfile.mkdtemp(prefix="ingest-")
-    columns = "dossier_id string, fichier_source string, page_fichier int, texte string, ocr_applique boolean"
-    src.conform(spark.createDataFrame([("A", "old.pdf", 1, "Ancienne page", False)], columns).withColumn("numero_global", F.lit(1)), src.PAGES).write.parquet(f"{root}/pages")
-    new = spark.createDataFrame([("A", "new.pdf", 1, "Cote D7\nLe témoin parle.", False), ("A", "old.pdf", 1, "Ancienne page", False)], columns)
-    src.conform(new, src.PAGES).write.parquet(f"{root}/in")
-    spark.createDataFrame([("A", 1, 2, "le témoin parle."), ("A", 2, 2, "inventé")], "dossier_id string, id int, page int, citation string").write.parquet(f"{root}/quotes")
-    for _ in range(2):
-        jobs.ingest_stream(spark, f"{root}/in", f"{root}/pages", f"{root}/quotes", f"{root}/out", f"{root}/ck").awaitTermination()
-    landed = spark.read.parquet(f"{root}/pages").orderBy("numero_global").collect()
-    assert [(p_["numero_global"], p_["fichier_source"], p_["cote_detectee"]) for p_ in landed] == [(1, "old.pdf", None), (2, "new.pdf", "D7")]
-    assert {(o["id"], o["methode_verif"]) for o in spark.read.parquet(f"{root}/out").collect()} == {(1, "exacte"), (2, "rejetee")}
-
-
-def test_ingest_stream_takes_a_file_in_two_parts_and_a_failed_batch_again(spark, monkeypatch):
-    root = tempfile.mkdtemp(prefix="ingest-")
-    columns = "dossier_id string, fichier_source string, page_fichier int, texte string, ocr_applique boolean"
-    page = lambda n: src.conform(spark.createDataFrame([("A", "new.pdf", n, f"Page {n}", False)], columns), src.PAGES)
-    page(9).filter("false").write.parquet(f"{root}/pages")
-    spark.createDataFrame([("A", k, k, f"page {k}") for k in (1, 2)], "dossier_id string, id int, page int, citation string").write.parquet(f"{root}/quotes")
-    run = lambda: jobs.ingest_stream(spark, f"{root}/in", f"{root}/pages", f"{root}/quotes", f"{root}/out", f"{root}/ck").awaitTermination()
-    page(1).write.parquet(f"{root}/in")
-    run()
-    page(2).write.mode("append").parquet(f"{root}/in")
-    with monkeypatch.context() as m:
-        m.setattr(jobs, "verify", lambda *a: 1 / 0)
-        with pytest.raises(Exception):
-            run()
-    run()
-    assert [p_["page_fichier"] for p_ in spark.read.parquet(f"{root}/pages").orderBy("numero_global").collect()] == [1, 2]
-    assert sorted((o["id"], o["methode_verif"]) for o in spark.read.parquet(f"{root}/out").collect()) == [(1, "exacte"), (2, "exacte")]
-
-
 def test_long_names_are_found_whole(spark):
     name = "Jean Paul Marie DE LA TOUR"
     pages = spark.createDataFrame([("A", 1, 1, "Entendu ce jour : jean paul marie de la tour, né le 1er mai.\nPuis DE LA TOUR Jean Paul Marie signe."),
