@@ -8,8 +8,9 @@ scan inside the blocks, scan the (few) block totals, and add both.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BLOCK = 4096
 
@@ -99,7 +100,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder of its own; on a cluster that would be a folder no other machine
     sees, so the call fails.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that a query writes on its way."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -108,4 +118,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
