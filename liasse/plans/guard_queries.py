@@ -105,11 +105,24 @@ def known(d: Views):
     return d.acts.select("dossier_id").distinct().select("dossier_id", F.lit("Interpellation de Selim TARKAN").alias("libelle"), F.array(F.lit("07h50"), F.lit("08h05")).alias("versions"))
 
 
-@query("single_version_guard", views=("acts",), sql="""
-SELECT dossier_id, CAST(acte_id AS INT) AS acte_id, 'Interpellation de Selim TARKAN' AS libelle, CAST(1 AS BIGINT) AS citees FROM cf_acts WHERE heure IN ('07h50', '08h05')""")
+# Versions of what a case says of an act: its distinct hours and officers, where there are several.
+_COMPACT = "regexp_replace(lower(strip_accents(replace({}, '…', '...'))), '[\\s.-]', '', 'g')"
+
+
+@query("single_version_guard", views=("acts",), sql=rf"""
+, o_w AS (SELECT dossier_id, nature AS libelle, list_sort(list_distinct(list(w))) AS versions FROM (
+    SELECT dossier_id, nature, heure AS w FROM cf_acts WHERE heure IS NOT NULL UNION ALL SELECT dossier_id, nature, agent FROM cf_acts WHERE agent IS NOT NULL) GROUP BY ALL),
+o_v AS (SELECT dossier_id, libelle, len(versions) AS total, unnest(versions) AS version FROM o_w WHERE len(versions) > 1),
+o_t AS (SELECT dossier_id, acte_id, coalesce(citation, '') || ' à ' || coalesce(heure, 'une heure inconnue') || ', ' || coalesce(agent, '') AS texte, heure FROM cf_acts),
+o_c AS (SELECT t.dossier_id, t.acte_id, libelle, total, count(DISTINCT version) AS citees FROM o_t t JOIN o_v v ON v.dossier_id = t.dossier_id
+    AND contains({_COMPACT.format('texte')}, {_COMPACT.format('version')}) GROUP BY ALL)
+SELECT dossier_id, CAST(acte_id AS INT) AS acte_id, libelle, citees FROM o_c WHERE citees < total""")
 def single_version_guard(d):
-    texts = d.acts.select("dossier_id", "acte_id", F.concat(F.lit("Interpellé à "), F.coalesce("heure", F.lit("une heure inconnue"))).alias("texte"))
-    return g.single_version(texts, known(d), ["acte_id"])
+    said = d.acts.select("dossier_id", F.col("nature").alias("libelle"), F.explode(F.array("heure", "agent")).alias("w")).where("w IS NOT NULL")
+    versions = said.groupBy("dossier_id", "libelle").agg(F.sort_array(F.collect_set("w")).alias("versions")).where("size(versions) > 1")
+    texts = d.acts.select("dossier_id", "acte_id", F.concat(
+        F.coalesce("citation", F.lit("")), F.lit(" à "), F.coalesce("heure", F.lit("une heure inconnue")), F.lit(", "), F.coalesce("agent", F.lit(""))).alias("texte"))
+    return g.single_version(texts, versions, ["acte_id"])
 
 
 @query("contradiction_proposals_guard")
