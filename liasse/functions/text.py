@@ -114,10 +114,46 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\u001e"), strip), lambda s: s != "")
 
 
+def unit_at(parts: Column, position: Column) -> Column:
+    """Of texts that stand end to end, the one that covers a 1-based position; the last one beyond them all.
+
+    As-of by one pass: a part is the answer as long as no earlier one has reached the position.
+    """
+    start = F.struct(F.lit(0).alias("fin"), F.lit("").alias("part"))
+    return F.aggregate(parts, start, lambda at, part: F.when(at["fin"] >= position, at).otherwise(
+        F.struct((at["fin"] + F.length(part)).alias("fin"), part.alias("part"))))["part"]
+
+
 def sentence_at(text: Column, position: Column) -> Column:
     """The sentence that covers a 1-based position."""
-    before = F.element_at(F.split(text.substr(F.lit(1), position - 1), v.FIN_PHRASE), -1)
-    cut = let(text.substr(position, F.length(text)), lambda rest: F.struct(
-        rest.alias("rest"), F.split(rest, v.FIN_PHRASE, 2)[0].alias("first")))
-    after = let(cut, lambda c: F.concat(c["first"], c["rest"].substr(F.length(c["first"]) + 1, F.lit(1))))
-    return strip(F.concat(before, after))
+    return strip(unit_at(F.split(F.regexp_replace(text, v.FIN_PHRASE, f"$0{MARK}"), MARK), position))
+
+
+# A code point that stands for no character: marks where a match begins.
+MARK = "\ufdd0"
+
+
+def match_lines(text: Column, pattern: str) -> Column:
+    """Every match in order: ``valeur`` and ``ligne``, the line it begins on, stripped.
+
+    The matches of a line are as many as the marks set in it, so the line is that of the
+    match even where the same words stand elsewhere before it.
+    """
+    def both(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, pattern, f"{MARK}$0"), "\n")
+        repeated = F.transform(marked, lambda line: let(F.replace(line, F.lit(MARK), F.lit("")), lambda bare: F.array_repeat(
+            strip(bare), F.length(line) - F.length(bare))))
+        return F.transform(F.arrays_zip(all_found(t, pattern).alias("valeur"), F.flatten(repeated).alias("ligne")), lambda x: F.struct(
+            x["valeur"].alias("valeur"), x["ligne"].alias("ligne")))
+
+    return let(F.replace(text, F.lit(MARK), F.lit("")), both)
+
+
+def match_offsets(text: Column, pattern: str) -> Column:
+    """Every match in order: ``valeur`` and ``debut``, its 1-based place in the text."""
+    def both(t: Column) -> Column:
+        sizes = F.transform(F.split(F.regexp_replace(t, pattern, f"{MARK}$0"), MARK), F.length)
+        return F.transform(all_found(t, pattern), lambda m, i: F.struct(
+            m.alias("valeur"), (F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + 1).alias("debut")))
+
+    return let(F.replace(text, F.lit(MARK), F.lit("")), both)

@@ -121,29 +121,47 @@ _IDENTIFIERS = (
 
 
 def identifier_mentions(pages: DataFrame) -> DataFrame:
-    """Phones, plates, IBANs and addresses: one row per page and value.
+    """Phones, plates, IBANs and addresses: one row per page and value, with the line of its first match.
 
     A page's text is one row, so its repeats are dropped inside the row
     (``ordre`` of the first kept) and nothing is shuffled.
     """
     def of_kind(kind: str, pattern: str, normalise) -> Column:
-        raw = F.transform(
-            text.all_found(F.col("texte"), pattern), lambda m: F.regexp_replace(text.strip(m), ",+$", "")
-        )
-        rows = F.transform(raw, lambda m, i: F.struct(
-            F.lit(kind).alias("type"), normalise(m).alias("cle"), m.alias("valeur_brute"), i.alias("ordre")))
-        keys = F.transform(rows, lambda r: r["cle"])
-        return F.filter(rows, lambda r, i: (r["cle"] != "") & (F.array_position(keys, r["cle"]) == i + 1))
+        def rows(found: Column) -> Column:
+            raw = F.transform(found, lambda m: F.struct(F.regexp_replace(text.strip(m["valeur"]), ",+$", "").alias("valeur"), m["ligne"].alias("ligne")))
+            return F.transform(raw, lambda m, i: F.struct(
+                F.lit(kind).alias("type"), normalise(m["valeur"]).alias("cle"), m["valeur"].alias("valeur_brute"), i.alias("ordre"), m["ligne"].alias("citation")))
+
+        def once(found: Column) -> Column:
+            return text.let(F.transform(found, lambda r: r["cle"]), lambda keys: F.filter(
+                found, lambda r, i: (r["cle"] != "") & (F.array_position(keys, r["cle"]) == i + 1)))
+
+        return text.let(rows(text.match_lines(F.col("texte"), pattern)), once)
 
     mentions = F.concat(*[of_kind(*spec) for spec in _IDENTIFIERS])
-    line = F.filter(
-        F.split("texte", "\n"), lambda x: F.contains(x, F.col("m.valeur_brute"))
-    )
-    return (
-        pages.select(*PAGE, "texte", F.explode(mentions).alias("m"))
-        .select(*PAGE, "m.type", "m.cle", "m.valeur_brute", "m.ordre",
-                F.coalesce(text.strip(F.get(line, F.lit(0))), F.col("m.valeur_brute")).alias("citation"))
-    )
+    return pages.select(*PAGE, F.explode(mentions).alias("m")).select(*PAGE, "m.type", "m.cle", "m.valeur_brute", "m.ordre", "m.citation")
+
+
+def identifier_sentences(pages: DataFrame) -> DataFrame:
+    """Every match of an identifier with its place in the text and the sentence that covers it."""
+    placed = F.concat(*[_placed(*spec) for spec in _IDENTIFIERS])
+    rows = pages.select(*PAGE, "texte", F.explode(placed).alias("m")).where("m.cle <> ''")
+    return rows.select(*PAGE, "m.type", "m.cle", "m.debut", _sentence_of(F.col("m.debut")).alias("phrase"))
+
+
+def sentences_of(pages: DataFrame, pattern: str) -> DataFrame:
+    """Every match of a pattern with its place in the text and the sentence that covers it."""
+    rows = pages.select(*PAGE, "texte", F.posexplode(text.match_offsets(F.col("texte"), pattern)).alias("ordre", "m"))
+    return rows.select(*PAGE, "ordre", "m.valeur", "m.debut", _sentence_of(F.col("m.debut")).alias("phrase"))
+
+
+def _sentence_of(place: Column) -> Column:
+    return text.sentence_at(F.replace(F.col("texte"), F.lit(text.MARK), F.lit("")), place)
+
+
+def _placed(kind: str, pattern: str, normalise) -> Column:
+    return F.transform(text.match_offsets(F.col("texte"), pattern), lambda m: F.struct(
+        F.lit(kind).alias("type"), normalise(F.regexp_replace(text.strip(m["valeur"]), ",+$", "")).alias("cle"), m["debut"].alias("debut")))
 
 
 def seal_mentions(pages: DataFrame) -> DataFrame:

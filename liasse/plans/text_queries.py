@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab as v
 from ..functions.dates import _cardinals
 from ..operators import extraction as x, filters as f
-from ..sources import pages as s
+from ..functions.scale import scratch_folder
+from ..sources import pages as s, sinks
 from .registry import WS, lines_sql, norm_sql, query, strip_sql, title_sql
 
 # --- marks and fingerprints, reused by several SQL checks --------------------
@@ -56,6 +57,46 @@ def incremental_ingest(d):
     return s.new_files(batch, d.pages.filter("ocr_applique"))
 
 
+@query("forced_ingest", views=("documents",), sql=f"""
+, o_old AS (SELECT * FROM cf_documents WHERE numero_global % 3 <> 0),
+o_batch AS (SELECT dossier_id, 'f' || (numero_global % 5) || '.pdf' AS fichier_source, numero_global AS page_fichier, texte FROM cf_documents WHERE numero_global % 7 < 3 AND length(dossier_id) % 2 = 0),
+o_kept AS (SELECT dossier_id, 'ancien.pdf' AS fichier_source, numero_global AS page_fichier, row_number() OVER (PARTITION BY dossier_id ORDER BY numero_global) AS numero_global, texte
+  FROM o_old WHERE dossier_id NOT IN (SELECT dossier_id FROM o_batch)),
+o_new AS (SELECT dossier_id, fichier_source, page_fichier, row_number() OVER (PARTITION BY dossier_id ORDER BY fichier_source, page_fichier) AS numero_global, texte FROM o_batch)
+SELECT dossier_id, fichier_source, CAST(page_fichier AS INT) AS page_fichier, CAST(numero_global AS INT) AS numero_global, sha256({strip_sql('texte')}) AS empreinte_sha256
+FROM (SELECT * FROM o_kept UNION ALL SELECT * FROM o_new)""")
+def forced_ingest(d):
+    """A case given again as a whole replaces its old pages at the sink, also when the run is repeated."""
+    pages, path = d.documents, scratch_folder(d.spark, "pages")
+    old = s.number_pages(pages.where("numero_global % 3 <> 0").select(
+        "dossier_id", F.lit("ancien.pdf").alias("fichier_source"), F.col("numero_global").cast("int").alias("page_fichier"), "texte", F.lit(1).alias("rang_fichier")),
+        d.spark.createDataFrame([], "dossier_id string, numero_global int"))
+    sinks.write_replacing(s.pages_with_marks(old), path, ["dossier_id"])
+    batch = pages.where("numero_global % 7 < 3 AND length(dossier_id) % 2 = 0").select(
+        "dossier_id", F.concat(F.lit("f"), F.col("numero_global") % 5, F.lit(".pdf")).alias("fichier_source"), F.col("numero_global").cast("int").alias("page_fichier"), "texte",
+        (F.col("numero_global") % 5 + 1).alias("rang_fichier"))
+    for _ in range(2):
+        there = d.spark.read.parquet(path).drop(sinks.BUCKET)
+        after = s.ingest_files(batch, there, force=True)
+        sinks.write_replacing(after.join(batch.select("dossier_id").distinct(), "dossier_id", "left_semi"), path, ["dossier_id"])
+    return d.spark.read.parquet(path).select("dossier_id", "fichier_source", "page_fichier", "numero_global", "empreinte_sha256")
+
+
+@query("replaced_rows", views=("heartbeats",), sql="""
+SELECT dossier_id, statut, arg_max({'m': mis_a_jour_le}, event_id)['m'] AS mis_a_jour_le, max(event_id) AS event_id,
+  arg_max({'j': CASE WHEN event_id % 2 = 1 AND event_id % 5 <> 0 THEN event_id END}, event_id)['j'] AS jetons
+FROM (SELECT *, count(*) FILTER (WHERE event_id % 2 = 1) OVER (PARTITION BY dossier_id, statut) AS n FROM cf_heartbeats)
+WHERE n = 0 AND event_id % 2 = 0 OR event_id % 2 = 1 GROUP BY dossier_id, statut""")
+def replaced_rows(d):
+    """One row per case and status; a row that comes again replaces the old one, its nulls included."""
+    rows = d.heartbeats.select("dossier_id", "statut", "mis_a_jour_le", "event_id")
+    old = rows.filter("event_id % 2 = 0").groupBy("dossier_id", "statut").agg(F.max_by(F.struct("mis_a_jour_le", "event_id"), "event_id").alias("x")).select(
+        "dossier_id", "statut", "x.*", F.lit(-1).cast("long").alias("jetons"))
+    updates = rows.filter("event_id % 2 = 1").withColumn("jetons", F.when(F.expr("event_id % 5 <> 0"), F.col("event_id").cast("long")))
+    found = s.replace_rows(old, updates, ["dossier_id", "statut"], "event_id")
+    return found.withColumn("jetons", F.when(F.col("jetons") >= 0, F.col("jetons")))
+
+
 @query("file_name_disambiguation", views=("files",), recursive=True, sql="""
 , o_files AS (SELECT *, row_number() OVER (PARTITION BY dossier_id ORDER BY rang) AS i FROM cf_files),
 o_steps AS (
@@ -311,16 +352,25 @@ _IDS = {
 }
 PROCEDURE_CTE = ("o_procedure AS (SELECT * FROM cf_pages p WHERE NOT EXISTS (SELECT 1 FROM cf_pieces i WHERE i.dossier_id = p.dossier_id "
                  f"AND i.type IN ({_list(v.TYPES_HORS_PROCEDURE)}) AND p.numero_global BETWEEN i.page_debut AND i.page_fin))")
+# Places of all matches: the text is cut before each one, and what comes before is as long as the parts before.
+def matches_sql(source: str, kind: str, pattern: str) -> str:
+    return (f"SELECT dossier_id, numero_global, texte, '{kind}' AS type, unnest(regexp_extract_all(texte, '{pattern}')) AS v0, "
+            f"generate_subscripts(regexp_extract_all(texte, '{pattern}'), 1) - 1 AS ordre, "
+            f"list_transform(string_split(regexp_replace(texte, '({pattern})', chr(64976) || '\\1', 'g'), chr(64976)), lambda z: length(z)) AS tailles FROM {source}")
+
+
+def identifiers_sql(source: str, prefix: str) -> list[str]:
+    return [f"{prefix}{i} AS ({matches_sql(source, kind, p)})" for i, (kind, (p, _)) in enumerate(_IDS.items())] + [
+        f"{prefix} AS (" + " UNION ALL ".join(
+            f"SELECT dossier_id, numero_global, texte, type, v AS valeur_brute, {norm} AS cle, ordre, list_sum(tailles[1:ordre + 1])::BIGINT + 1 AS debut "
+            f"FROM (SELECT *, regexp_replace(trim(v0), ',+$', '') AS v FROM {prefix}{i})" for i, (_, norm) in enumerate(_IDS.values())) + ")"]
+
+
 IDENTIFIERS_CTE = ",\n".join(
-    [PROCEDURE_CTE] + [f"o_i{i} AS (SELECT dossier_id, numero_global, texte, '{kind}' AS type, unnest(regexp_extract_all(texte, '{p}')) AS v0, "
-     f"generate_subscripts(regexp_extract_all(texte, '{p}'), 1) - 1 AS ordre FROM o_procedure)"
-     for i, (kind, (p, _)) in enumerate(_IDS.items())]
-    + ["o_ids0 AS (" + " UNION ALL ".join(
-        f"SELECT dossier_id, numero_global, texte, type, v AS valeur_brute, {norm} AS cle, ordre FROM (SELECT *, regexp_replace(trim(v0), ',+$', '') AS v FROM o_i{i})"
-        for i, (_, norm) in enumerate(_IDS.values())) + ")",
-       "o_ids AS (SELECT dossier_id, CAST(numero_global AS INT) AS numero_global, type, cle, valeur_brute, CAST(ordre AS INT) AS ordre, "
-       "coalesce(trim(list_filter(string_split(texte, chr(10)), lambda l: contains(l, valeur_brute))[1]), valeur_brute) AS citation FROM o_ids0 "
-       "QUALIFY row_number() OVER (PARTITION BY dossier_id, numero_global, type, cle ORDER BY ordre) = 1)"])
+    [PROCEDURE_CTE, *identifiers_sql("o_procedure", "o_ids0"),
+     "o_ids AS (SELECT dossier_id, CAST(numero_global AS INT) AS numero_global, type, cle, valeur_brute, CAST(ordre AS INT) AS ordre, "
+     "trim(string_split(texte, chr(10))[length(substr(texte, 1, debut - 1)) - length(replace(substr(texte, 1, debut - 1), chr(10), '')) + 1]) AS citation FROM o_ids0 "
+     "WHERE cle <> '' QUALIFY row_number() OVER (PARTITION BY dossier_id, numero_global, type, cle ORDER BY ordre) = 1)"])
 
 
 @query("identifier_mentions", views=("pages", "pieces"), ctes=IDENTIFIERS_CTE, sql="SELECT * FROM o_ids")
@@ -328,6 +378,36 @@ def identifier_mentions(d):
     return x.identifier_mentions(f.procedure_pages(d.pages, d.pieces))
 
 
+def raw_sentences_sql(c: str) -> str:
+    """The sentences with their blanks, end to end."""
+    kept = rf"regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])([A-ZÀ-Ÿ])\.', '\1\2' || chr(29), 'g')"
+    cut = rf"regexp_replace(regexp_replace({kept}, '\.({WS}|$)', '.' || chr(30) || '\1', 'g'), '\x{{2029}}', chr(8233) || chr(30), 'g')"
+    return f"list_transform(string_split({cut}, chr(30)), lambda z: replace(z, chr(29), chr(46)))"
+
+
+def sentence_ends_sql(source: str) -> str:
+    return (f"o_s AS (SELECT dossier_id, numero_global, {raw_sentences_sql('texte')} AS ss FROM {source}), "
+            "o_e AS (SELECT dossier_id, numero_global, unnest(ss) AS phrase, generate_subscripts(ss, 1) AS n FROM o_s), "
+            "o_f AS (SELECT *, sum(length(phrase)) OVER (PARTITION BY dossier_id, numero_global ORDER BY n) AS fin FROM o_e)")
+
+
+@query("identifier_sentences", views=("pages",), ctes=",\n".join(identifiers_sql("cf_pages", "o_all")), sql=f"""
+, {sentence_ends_sql('cf_pages')}
+SELECT a.dossier_id, CAST(a.numero_global AS INT) AS numero_global, a.type, a.cle, CAST(a.debut AS INT) AS debut, {strip_sql('f.phrase')} AS phrase
+FROM o_all a JOIN o_f f ON f.dossier_id = a.dossier_id AND f.numero_global = a.numero_global AND a.debut > f.fin - length(f.phrase) AND a.debut <= f.fin WHERE a.cle <> ''""")
+def identifier_sentences(d):
+    return x.identifier_sentences(d.pages)
+
+
+@query("offset_sentences", views=("documents",), ctes=f"o_all AS ({matches_sql('cf_documents', 'n', '[0-9]{4,}')})", sql=f"""
+, {sentence_ends_sql('cf_documents')}, o_m AS (SELECT *, list_sum(tailles[1:ordre + 1])::BIGINT + 1 AS debut FROM o_all)
+SELECT a.dossier_id, a.numero_global, CAST(a.ordre AS INT) AS ordre, a.v0 AS valeur, CAST(a.debut AS INT) AS debut, {strip_sql('f.phrase')} AS phrase
+FROM o_m a JOIN o_f f ON f.dossier_id = a.dossier_id AND f.numero_global = a.numero_global AND a.debut > f.fin - length(f.phrase) AND a.debut <= f.fin""")
+def offset_sentences(d):
+    """The sentence that covers the place of each longer number, over whole documents."""
+    return x.sentences_of(d.documents, "[0-9]{4,}")
+
+
 @query("seal_mentions")
 def seal_mentions(d):
     return x.seal_mentions(f.procedure_pages(d.pages, d.pieces)).withColumn("couleurs", F.array_join("couleurs", ",")).withColumn(

@@ -1,5 +1,7 @@
 """Parsing tables: reference marks, hours, openings, sentences, guards."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from liasse.functions import dates, text
@@ -128,3 +130,31 @@ def test_person_fields(one):
 
 def test_topics(one):
     assert one(["Quand êtes-vous arrivé ?", "Qui est-ce ?"], st.topic(F.col("texte"), F.lit("x"))) == ["heure d'arrivée sur les lieux", "qui est-ce"]
+
+
+def test_line_and_sentence_of_a_match(spark):
+    texte = "Ref 0601020304059\nTel. 06 01 02 03 04. Le M. A.\nB. DUPONT, 0601020304 encore.\n﷐Fin 06\n01020304"
+    pages = spark.createDataFrame([("A", 1, texte), ("A", 2, "rien")], "dossier_id string, numero_global int, texte string")
+    rows = x.identifier_mentions(pages).collect()
+    # The value stands earlier inside a longer number; the line is that of the match.
+    assert [(r.cle, r.citation) for r in rows] == [("0601020304", "Tel. 06 01 02 03 04. Le M. A.")]
+    found = x.identifier_sentences(pages).orderBy("debut").collect()
+    plain = texte.replace("﷐", "")
+    assert [plain[r.debut - 1:][:2] for r in found] == ["06"] * 3
+    assert [r.phrase for r in found] == ["06 01 02 03 04.", "Le M. A.\nB. DUPONT, 0601020304 encore.", "Fin 06\n01020304"]
+
+
+def test_unit_at_equals_a_loop(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ab. A\n") for _ in range(rng.randrange(1, 40))), rng.randrange(1, 40)) for _ in range(200)]
+    found = spark.createDataFrame(rows, "t string, p int").select("t", "p", text.unit_at(F.split("t", r"(?<=\n)"), F.col("p")).alias("u")).collect()
+    for r in found:
+        lines = r.t.splitlines(keepends=True)
+        at, got = 0, lines[-1] if not r.t.endswith("\n") else ""
+        for line in lines:
+            if at < r.p <= at + len(line):
+                got = line
+                break
+            at += len(line)
+        if r.p <= len(r.t):
+            assert r.u == got
