@@ -14,7 +14,7 @@ from .text_queries import IDENTIFIERS_CTE
 
 @query("procedural_acts")
 def procedural_acts(d):
-    return a.acts_by_rules(linked(d), d.pieces)
+    return a.numbered_acts(a.acts_by_rules(linked(d), d.pieces))
 
 
 def act_proposals(d: Views):
