@@ -12,10 +12,9 @@ from .extraction import base_mark, reference_mark
 KEY = ["dossier_id", "numero_global"]
 
 
-def _sheet(c: Column) -> Column:
+def _sheet(lines: Column) -> Column:
     """Number of the sheet (« Feuillet 2/3 ») near the top or bottom."""
-    near = text.let(text.lines(c), lambda ls: F.concat(
-        F.slice(ls, 1, v.LIGNES_FEUILLET), F.slice(ls, F.greatest(F.lit(1), F.size(ls) - 3), F.lit(4))))
+    near = F.concat(F.slice(lines, 1, v.LIGNES_FEUILLET), F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 3), F.lit(4)))
     numbers = F.transform(F.filter(near, lambda x: x.rlike(v.RE_FEUILLET)), lambda x: F.struct(
         F.regexp_extract(x, v.RE_FEUILLET, 1).try_cast("int").alias("a"),
         F.regexp_extract(x, v.RE_FEUILLET, 2).try_cast("int").alias("b")))
@@ -34,11 +33,19 @@ def segment(pages: DataFrame) -> DataFrame:
     The text is read once, into two flags; the islands are then numbered inside
     blocks of pages and the block totals added up.
     """
-    sheet = _sheet(F.col("texte"))
-    flags = pages.select(
-        *KEY, "fichier_source", text.is_lawyer_page(F.col("texte")).alias("avocat"),
-        F.coalesce(sheet == 1, _starts_with_title(F.col("texte"))).alias("titre"),
-    ).withColumn("bloc", page_block())
+    return islands(pages.select(*KEY, "fichier_source", *_boundary(text.lines(F.col("texte")))))
+
+
+def _boundary(lines: Column) -> list[Column]:
+    t = F.col("texte")
+    sheet = text.let(lines, _sheet)
+    return [text.is_lawyer_page(t).alias("avocat"), F.coalesce(sheet == 1, _starts_with_title(t)).alias("titre")]
+
+
+def islands(flags: DataFrame) -> DataFrame:
+    """``flags`` (dossier_id, numero_global, fichier_source, avocat, titre, and what else a page carries) with ``piece_id`` and ``ouvre``."""
+    carried = [c for c in flags.columns if c not in (*KEY, "fichier_source", "avocat", "titre")]
+    flags = flags.withColumn("bloc", page_block())
 
     def opens(before: Column, now: Column) -> Column:
         return (
@@ -65,7 +72,7 @@ def segment(pages: DataFrame) -> DataFrame:
     opened = F.coalesce("nouvelle", "tete_ouvre")
     local = F.sum(F.col("ouvre").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.join(blocks, ["dossier_id", "bloc"]).withColumn("ouvre", opened).select(
-        *KEY, (F.col("avant_bloc") + local).cast("int").alias("piece_id"), "ouvre"
+        *KEY, (F.col("avant_bloc") + local).cast("int").alias("piece_id"), "ouvre", *carried
     )
 
 
@@ -80,22 +87,29 @@ def piece_bounds(islands: DataFrame) -> DataFrame:
 
 def header(c: Column) -> Column:
     """Capital lines at the head of a page, reference lines skipped (six at most)."""
+    return _header(text.lines(c))
+
+
+def _header(lines: Column) -> Column:
     def step(acc: Column, line: Column) -> Column:
-        title = line["titre"]
-        skips = (acc["sautees"] < v.LIGNES_TETE) & ((F.size(acc["titres"]) == 0) | line["ligne"].rlike(v.RE_METADONNEE_ENTETE))
+        # Lines after the head are not looked at.
+        skips = (acc["sautees"] < v.LIGNES_TETE) & ((F.size(acc["titres"]) == 0) | line.rlike(v.RE_METADONNEE_ENTETE))
         return (
             F.when(acc["fin"], acc)
-            .when(title, F.struct(F.concat(acc["titres"], F.array(line["ligne"])).alias("titres"), acc["sautees"].alias("sautees"), F.lit(False).alias("fin")))
+            .when(text.is_title(line), F.struct(F.concat(acc["titres"], F.array(line)).alias("titres"), acc["sautees"].alias("sautees"), F.lit(False).alias("fin")))
             .when(skips, F.struct(acc["titres"].alias("titres"), (acc["sautees"] + 1).alias("sautees"), F.lit(False).alias("fin")))
             .otherwise(F.struct(acc["titres"].alias("titres"), acc["sautees"].alias("sautees"), F.lit(True).alias("fin"))))
 
     start = F.struct(F.array().cast("array<string>").alias("titres"), F.lit(0).alias("sautees"), F.lit(False).alias("fin"))
-    marked = F.transform(text.lines(c), lambda x: F.struct(x.alias("ligne"), text.is_title(x).alias("titre")))
-    return F.aggregate(marked, start, step, lambda acc: F.array_join(acc["titres"], " "))
+    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["titres"], " "))
 
 
 def heading(c: Column) -> Column:
     """What a piece is typed on: « Objet : … » of a report, header, strong titles."""
+    return text.let(text.lines(c), _heading)
+
+
+def _heading(lines: Column) -> Column:
     def parts(top: Column) -> Column:
         return text.let(F.array_join(top, "\n"), lambda joined: with_head(top, joined))
 
@@ -107,9 +121,9 @@ def heading(c: Column) -> Column:
             joined.rlike(v.RE_OBJET) & joined.rlike(r"(?iU)PROC[ÈE]S[- ]?VERBAL"),
             F.concat(F.lit("PROCÈS-VERBAL "), link, F.upper(subject)))
         strong = F.array_join(F.filter(top, lambda x: x.rlike(v.RE_INTITULE_FORT)), " ")
-        return F.concat_ws(" ", report, F.nullif(header(c), F.lit("")), F.nullif(strong, F.lit("")))
+        return F.concat_ws(" ", report, F.nullif(_header(lines), F.lit("")), F.nullif(strong, F.lit("")))
 
-    return text.let(F.slice(text.lines(c), 1, v.LIGNES_FEUILLET), parts)
+    return text.let(F.slice(lines, 1, v.LIGNES_FEUILLET), parts)
 
 
 def type_by_rules(title: Column, rules=v.REGLES_TYPE) -> Column:
@@ -131,16 +145,35 @@ def type_by_rules(title: Column, rules=v.REGLES_TYPE) -> Column:
 def classify(pages: DataFrame, threshold: float = v.SEUIL_CONFIANCE, rules=v.REGLES_TYPE) -> DataFrame:
     """Pages with ``piece_id``/``ouvre`` → one typed row per piece."""
     t = F.col("texte")
-    marks = pages.select(
-        "dossier_id", "piece_id", "numero_global", t.rlike(v.RE_DOCUMENT_AVOCAT).alias("avocat"),
-        # Typed before the shuffle, where the pages are spread over all tasks.
-        F.when(F.col("ouvre"), text.let(heading(t), lambda h: F.struct(
-            h.alias("intitule"), type_by_rules(h, rules).alias("type"),
-            F.substring(t, 1, 600).rlike(v.RE_PROCES_VERBAL).alias("pv")))).alias("tete"),
-    )
+    head = F.when(F.col("ouvre"), text.let(text.lines(t), lambda ls: _typed_head(ls, rules)))
+    # Typed before the shuffle, where the pages are spread over all tasks.
+    marks = pages.select("dossier_id", "piece_id", "numero_global", t.rlike(v.RE_DOCUMENT_AVOCAT).alias("document"), head.alias("tete"))
+    return _typed(marks, threshold)
+
+
+def segment_and_classify(pages: DataFrame, threshold: float = v.SEUIL_CONFIANCE, rules=v.REGLES_TYPE) -> DataFrame:
+    """Pages → one typed row per piece, in one pass over the texts.
+
+    Every page is reduced to its flags and to what it would be typed as if it opened a
+    piece; the lines of a page are cut once for all of these, and no text is shuffled.
+    """
+    t = F.col("texte")
+    read = text.let(text.lines(t), lambda ls: F.struct(_sheet(ls).alias("feuillet"), _typed_head(ls, rules).alias("tete")))
+    flags = pages.select(*KEY, "fichier_source", text.is_lawyer_page(t).alias("avocat"), _starts_with_title(t).alias("haut"),
+                         t.rlike(v.RE_DOCUMENT_AVOCAT).alias("document"), read.alias("lu"))
+    flags = flags.select(*KEY, "fichier_source", "avocat", F.coalesce(F.col("lu.feuillet") == 1, F.col("haut")).alias("titre"), "document", F.col("lu.tete").alias("tete"))
+    return _typed(islands(flags), threshold)
+
+
+def _typed_head(lines: Column, rules) -> Column:
+    return text.let(_heading(lines), lambda h: F.struct(
+        h.alias("intitule"), type_by_rules(h, rules).alias("type"), F.substring(F.col("texte"), 1, 600).rlike(v.RE_PROCES_VERBAL).alias("pv")))
+
+
+def _typed(marks: DataFrame, threshold: float) -> DataFrame:
     pieces = marks.groupBy("dossier_id", "piece_id").agg(
         F.min("numero_global").alias("page_debut"), F.max("numero_global").alias("page_fin"),
-        F.bool_or("avocat").alias("avocat"), F.min_by("tete", "numero_global").alias("tete"),
+        F.bool_or("document").alias("avocat"), F.min_by("tete", "numero_global").alias("tete"),
     )
     kind = F.when(F.col("avocat") & ~F.col("tete.pv"), v.DOCUMENT_AVOCAT).otherwise(F.col("tete.type"))
     typed = pieces.select("dossier_id", "piece_id", "page_debut", "page_fin", kind.alias("type"),

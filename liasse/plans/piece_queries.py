@@ -59,7 +59,7 @@ o_types AS (SELECT a.dossier_id, a.piece_id, CAST(page_debut AS INT) AS page_deb
 SELECT *, CASE WHEN type = 'Non identifié' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confiance,
   CASE WHEN type = 'Non identifié' THEN 'a_relire' ELSE 'ok' END AS statut_revision FROM o_types""")
 def piece_type_rules(d):
-    return g.classify(segmented(d)).drop("intitule")
+    return g.segment_and_classify(d.pages).drop("intitule")
 
 
 @query("type_proposals", views=("pieces",), sql="""
