@@ -158,9 +158,10 @@ def guard_answers(proposals: DataFrame, questions: DataFrame, pages: DataFrame,
         "essai", "statut", "reponse", F.when(F.col("statut") != "introuvable", F.col("citations")).alias("citations")), preference).alias("x")).select("dossier_id", "question_id", "x.*")
 
 
-def procedure_points(questions: DataFrame, findings: DataFrame) -> DataFrame:
-    """Questions on nullity get the case's findings, one row per finding."""
-    asked = questions.filter(F.substring(text.strip(F.col("question")), 1, v.LONGUEUR_QUESTION).rlike(v.RE_QUESTION_NULLITE))
+def procedure_points(questions: DataFrame, findings: DataFrame, length: int | None = None) -> DataFrame:
+    """Questions on nullity get the case's findings, one row per finding; ``length`` reads only so many letters of a question."""
+    said = text.strip(F.col("question"))
+    asked = questions.filter((said if length is None else F.substring(said, 1, length)).rlike(v.RE_QUESTION_NULLITE))
     sourced = findings.filter("page is not null and citation is not null").select("dossier_id").distinct()
     return asked.join(sourced, "dossier_id", "left_semi").join(findings.select("dossier_id", "titre", "page", "citation"), "dossier_id").select(
         "dossier_id", "question_id", F.lit("passages").alias("statut"), "titre", "page", "citation")

@@ -18,14 +18,12 @@ def procedural_acts(d):
 
 
 def act_proposals(d: Views):
-    """Two proposed acts per report: one the page says, one it does not."""
-    pages = d.pages.filter("numero_global in (3, 5, 10, 12, 16)")
-    n = F.col("numero_global")
-    base = pages.select("dossier_id", n.alias("piece_id"), n.alias("page"), "texte")
-    line = F.get(F.split("texte", "\n"), F.when(F.col("page") == 3, 3).otherwise(2))
-    true_ = base.withColumn("citation", line).withColumn("nature", F.element_at(F.create_map(
-        *[F.lit(z) for p in ((3, "placement_garde_a_vue"), (5, "notification_droits"), (10, "debut_perquisition"),
-                             (12, "prolongation_garde_a_vue"), (16, "fin_garde_a_vue")) for z in p]), F.col("page")))
+    """Two proposed acts for every piece whose type has an act: one in the page's own words, one that it does not say."""
+    nature = F.try_element_at(F.create_map(*[F.lit(z) for pair in v.NATURE_PAR_TYPE.items() for z in pair]), F.col("type"))
+    base = linked(d).filter("ouvre").join(f.eligible_pieces(d.pieces, "actes").select("dossier_id", "piece_id", "type"), ["dossier_id", "piece_id"])
+    base = base.withColumn("nature", nature).filter("nature IS NOT NULL").select("dossier_id", "piece_id", F.col("numero_global").alias("page"), "nature", "texte")
+    # The first line with an hour.
+    true_ = base.withColumn("citation", F.get(F.filter(F.split("texte", "\n"), lambda z: z.rlike(v.HEURE)), F.lit(0)))
     false_ = base.withColumn("citation", F.lit("Le médecin n'est pas venu")).withColumn("nature", F.lit("realisation_examen_medical"))
     rows = true_.unionByName(false_).filter("citation is not null").drop("texte")
     return rows.select(
@@ -54,11 +52,11 @@ def act_merge(d):
 
 
 @query("written_details", views=("pages",), sql=r"""
-SELECT dossier_id, CAST(numero_global AS INT) AS page, CASE WHEN numero_global = 12 THEN CASE WHEN regexp_matches(texte, '(?i)sans\s+présentation') THEN 'non' END END AS presentation, 'OPJ' AS agent
-FROM cf_pages WHERE numero_global IN (12, 13)""")
+SELECT dossier_id, CAST(numero_global AS INT) AS page, CASE WHEN numero_global % 2 = 0 AND regexp_matches(texte, '(?i)sans\s+présentation') THEN 'non' END AS presentation, 'OPJ' AS agent
+FROM cf_pages""")
 def written_details(d):
-    pages = d.pages.filter("numero_global in (12, 13)")
-    acts = pages.select("dossier_id", F.col("numero_global").alias("page"), F.when(F.col("numero_global") == 12, "prolongation_garde_a_vue").otherwise(
+    pages = d.pages
+    acts = pages.select("dossier_id", F.col("numero_global").alias("page"), F.when(F.col("numero_global") % 2 == 0, "prolongation_garde_a_vue").otherwise(
         "debut_audition").alias("nature"), F.lit("audition débutée").alias("citation"), F.create_map(F.lit("agent"), F.lit("OPJ")).alias("details"))
     out = a.written_details(acts, pages)
     return out.select("dossier_id", "page", F.try_element_at("details", F.lit("presentation")).alias("presentation"), F.try_element_at("details", F.lit("agent")).alias("agent"))
@@ -66,12 +64,17 @@ def written_details(d):
 
 @query("question_answer_pairs")
 def question_answer_pairs(d):
-    return s.qa_pairs(linked(d).filter("piece_id in (8, 11, 13, 14)"))
+    return s.qa_pairs(heard(d))
+
+
+def heard(d: Views):
+    """Pages of the pieces that are read for statements."""
+    return linked(d).join(f.eligible_pieces(d.pieces, "declarations").select("dossier_id", "piece_id"), ["dossier_id", "piece_id"], "left_semi")
 
 
 @query("statements")
 def statements(d):
-    pairs = s.qa_pairs(linked(d).filter("piece_id in (8, 11, 13, 14)"))
+    pairs = s.qa_pairs(heard(d))
     from ..operators.persons import tagged_persons
 
     persons = tagged_persons(linked(d)).select("dossier_id", F.col("nom").alias("personne_id"), "nom")

@@ -71,12 +71,12 @@ def fact_description_guard(d):
 
 @query("name_completion", views=("pages", "persons"), sql=r"""
 , o_w AS (SELECT dossier_id, numero_global, unnest(list_distinct(flatten(list_transform(regexp_extract_all(texte, '(?:^|[^A-Za-zÀ-ÖØ-öø-ÿ''’-])([A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]*)', 1),
-   lambda w: string_split_regex(lower(strip_accents(w)), '[''’-]'))))) AS p FROM cf_pages WHERE numero_global IN (1, 8, 11)),
+   lambda w: string_split_regex(lower(strip_accents(w)), '[''’-]'))))) AS p FROM cf_pages),
 o_n AS (SELECT dossier_id, personne_id, nom, unnest(list_distinct(list_filter(regexp_extract_all(lower(strip_accents(nom)), '[a-z]+'), lambda z: length(z) >= 3))) AS p FROM cf_persons),
 o_a AS (SELECT dossier_id, numero_global, string_agg(nom, chr(10) ORDER BY personne_id, nom) AS noms FROM (SELECT DISTINCT w.dossier_id, numero_global, personne_id, nom FROM o_w w JOIN o_n n ON n.dossier_id = w.dossier_id AND n.p = w.p) GROUP BY ALL)
-SELECT g.dossier_id, CAST(g.numero_global AS INT) AS numero_global, texte || coalesce(chr(10) || noms, '') AS reference FROM cf_pages g LEFT JOIN o_a a ON a.dossier_id = g.dossier_id AND a.numero_global = g.numero_global WHERE g.numero_global IN (1, 8, 11)""")
+SELECT g.dossier_id, CAST(g.numero_global AS INT) AS numero_global, texte || coalesce(chr(10) || noms, '') AS reference FROM cf_pages g LEFT JOIN o_a a ON a.dossier_id = g.dossier_id AND a.numero_global = g.numero_global""")
 def name_completion(d):
-    pages = d.pages.filter("numero_global in (1, 8, 11)").select("dossier_id", "numero_global", F.col("texte").alias("reference"))
+    pages = d.pages.select("dossier_id", "numero_global", F.col("texte").alias("reference"))
     return g.complete_names(pages, d.persons, ["numero_global"])
 
 
@@ -128,7 +128,7 @@ def single_version_guard(d):
 @query("contradiction_proposals_guard")
 def contradiction_proposals_guard(d):
     elements = cut_lineage(case_elements_of(d))
-    pairs = d.acts.filter("acte_id <= 16").select("dossier_id", F.col("acte_id").alias("ordre"), F.when(F.col("acte_id") % 4 == 0, "Il ment").otherwise(
+    pairs = d.acts.select("dossier_id", F.col("acte_id").alias("ordre"), F.when(F.col("acte_id") % 4 == 0, "Il ment").otherwise(
         "Heures selon les pièces").alias("titre"), F.concat(F.lit("Les deux pièces ne concordent pas (F"), F.col("acte_id"), F.lit(").")).alias("description"), F.lit("fond").alias("domaine"),
         F.array(F.concat(F.lit("F"), F.col("acte_id")), F.concat(F.lit("P"), (F.col("acte_id") + 5))).alias("sources"))
     reviews = pairs.select("dossier_id", "ordre", (F.col("ordre") % 5 > 0).alias("fidele"), F.lit(True).alias("contradiction_reelle"))
@@ -157,7 +157,8 @@ def short_summary(d):
 # --- retrieval ---------------------------------------------------------------
 
 def questions_of(d: Views):
-    return d.documents.filter("numero_global % 40 = 0").select("dossier_id", F.col("numero_global").alias("question_id"), F.substring("texte", 1, 80).alias("question"))
+    """Whole texts whose number is divisible by 50 are asked for among all texts."""
+    return d.documents.filter("numero_global % 50 = 0").select("dossier_id", F.col("numero_global").alias("question_id"), F.col("texte").alias("question"))
 
 
 _STEMS = ("list_distinct(list_transform(list_filter(regexp_extract_all(lower(strip_accents({c})), '[a-z0-9]+'), "
@@ -165,7 +166,7 @@ _STEMS = ("list_distinct(list_transform(list_filter(regexp_extract_all(lower(str
 
 
 @query("relevance_scores", views=("documents",), sql=f"""
-, o_q AS (SELECT dossier_id, numero_global AS question_id, unnest({_STEMS.format(c='substr(texte, 1, 80)')}) AS racine FROM cf_documents WHERE numero_global % 40 = 0),
+, o_q AS (SELECT dossier_id, numero_global AS question_id, unnest({_STEMS.format(c='texte')}) AS racine FROM cf_documents WHERE numero_global % 50 = 0),
 o_x AS (SELECT dossier_id, numero_global, unnest({_STEMS.format(c='texte')}) AS racine FROM cf_documents),
 o_n AS (SELECT dossier_id, count(*) AS n FROM cf_documents GROUP BY ALL),
 o_w AS (SELECT dossier_id, racine, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS poids FROM o_x JOIN o_n USING (dossier_id) GROUP BY dossier_id, racine)
@@ -182,9 +183,9 @@ def relevant_pages(d):
 @query("answer_guard")
 def answer_guard(d):
     pages = d.pages
-    asked = pages.filter("numero_global in (1, 8, 11)").select("dossier_id", F.col("numero_global").alias("question_id"), F.lit("À quelle heure ?").alias("question"), "texte")
+    asked = pages.select("dossier_id", F.col("numero_global").alias("question_id"), F.lit("À quelle heure ?").alias("question"), "texte")
     line = F.get(F.split("texte", "\n"), F.lit(2))
-    first = asked.select("dossier_id", "question_id", F.lit(1).alias("essai"), F.when(F.col("question_id") == 1, F.lit("C'est une nullité.")).otherwise(F.lit("À 03h33.")).alias("reponse"),
+    first = asked.select("dossier_id", "question_id", F.lit(1).alias("essai"), F.when(F.col("question_id") % 3 == 1, F.lit("C'est une nullité.")).otherwise(F.lit("À 03h33.")).alias("reponse"),
                          F.array(F.struct(F.col("question_id").alias("page"), line.alias("citation"))).alias("citations"))
     second = first.withColumn("essai", F.lit(2)).withColumn("reponse", F.lit("Le fait est écrit."))
     persons = d.persons
@@ -193,12 +194,12 @@ def answer_guard(d):
 
 @query("procedure_points_answer", views=("acts", "persons"), ctes=CUSTODY_CTE, sql="""
 SELECT dossier_id, CAST(acte_id AS BIGINT) AS question_id, 'passages' AS statut, 'Fin de garde à vue non identifiée' || CASE WHEN NOT une AND nom IS NOT NULL THEN ' — ' || nom ELSE '' END AS titre, CAST(o.page AS INT) AS page, o.citation
-FROM cf_acts a JOIN (SELECT o.dossier_id, o.page, o.citation, une, nom FROM o_g o LEFT JOIN cf_persons p ON p.dossier_id = o.dossier_id AND p.personne_id = o.g WHERE fin IS NULL) o USING (dossier_id) WHERE acte_id IN (1, 2)""")
+FROM cf_acts a JOIN (SELECT o.dossier_id, o.page, o.citation, une, nom FROM o_g o LEFT JOIN cf_persons p ON p.dossier_id = o.dossier_id AND p.personne_id = o.g WHERE fin IS NULL) o USING (dossier_id) WHERE acte_id % 3 > 0""")
 def procedure_points_answer(d):
     held, visible = custodies(d)
     found = r.findings_custody(held, visible, d.act_pieces, with_details(d.acts)).filter("regle = 'R1'")
-    asked = d.acts.filter("acte_id <= 3").select("dossier_id", F.col("acte_id").cast("long").alias("question_id"), F.when(
-        F.col("acte_id") < 3, "Y a-t-il une nullité à soulever ?").otherwise("Qui est entendu ?").alias("question"))
+    asked = d.acts.select("dossier_id", F.col("acte_id").cast("long").alias("question_id"), F.when(
+        F.col("acte_id") % 3 > 0, "Y a-t-il une nullité à soulever ?").otherwise("Qui est entendu ?").alias("question"))
     return q.procedure_points(asked, found)
 
 
@@ -240,11 +241,11 @@ def call_counters(d):
 
 
 def truth_of(d: Views):
-    people = d.persons.filter("personne_id in ('P1', 'P3')")
-    rows = people.select("dossier_id", F.when(F.col("personne_id") == "P1", "mis_en_cause").otherwise("jamais_mis_en_cause").alias("sorte"), F.col("nom").alias("attendu"), F.lit("0").alias("valeur"))
-    lengths = people.filter("personne_id = 'P1'").select("dossier_id", F.lit("duree").alias("sorte"), F.lit("TARKAN Selim").alias("attendu"), F.lit("1000").alias("valeur"))
-    notes = people.filter("personne_id = 'P1'").select("dossier_id", F.explode(F.array(F.lit("signalement"), F.lit("jamais_signale"))).alias("sorte"), F.lit("Fin de garde à vue").alias("attendu"), F.lit("0").alias("valeur"))
-    pair = people.filter("personne_id = 'P1'").select("dossier_id", F.lit("contradiction").alias("sorte"), F.lit("Interpellation / TARKAN").alias("attendu"), F.lit("0").alias("valeur"))
+    people = d.persons
+    rows = people.select("dossier_id", F.when(F.col("role") == "mis_en_cause", "mis_en_cause").otherwise("jamais_mis_en_cause").alias("sorte"), F.col("nom").alias("attendu"), F.lit("0").alias("valeur"))
+    lengths = people.filter("role = 'mis_en_cause'").select("dossier_id", F.lit("duree").alias("sorte"), F.col("nom").alias("attendu"), F.lit("1000").alias("valeur"))
+    notes = people.select("dossier_id").distinct().select("dossier_id", F.explode(F.array(F.lit("signalement"), F.lit("jamais_signale"))).alias("sorte"), F.lit("Fin de garde à vue").alias("attendu"), F.lit("0").alias("valeur"))
+    pair = people.filter("role = 'mis_en_cause'").select("dossier_id", F.lit("contradiction").alias("sorte"), F.concat(F.lit("Interpellation / "), F.col("nom")).alias("attendu"), F.lit("0").alias("valeur"))
     return rows.unionByName(lengths).unionByName(notes).unionByName(pair)
 
 

@@ -62,17 +62,18 @@ def person_name_resolution(d):
     return p.resolve_names(d.free_names, d.persons)
 
 
-@query("person_proposals_guard", views=("pages", "persons"), sql=r"""
-, o_q AS (SELECT dossier_id, piece_id, tranche, CASE tranche WHEN 1 THEN 'Docteur Jean INVENTÉ' WHEN 2 THEN CASE WHEN piece_id % 2 = 0 THEN 'TARKAN Selim' ELSE 'Gauthier Gilles' END ELSE 'Yanis DERRADJI' END AS nom
-   FROM (SELECT dossier_id, numero_global AS piece_id FROM cf_pages WHERE numero_global IN (2, 3)) p, (VALUES (1), (2), (3), (4)) t(tranche)),
+@query("person_proposals_guard", views=("pages", "page_pieces", "persons"), sql=r"""
+, o_t AS (SELECT p.dossier_id, i.piece_id, p.texte FROM cf_pages p JOIN cf_page_pieces i ON i.dossier_id = p.dossier_id AND i.page = p.numero_global),
+o_q AS (SELECT dossier_id, piece_id, tranche, CASE tranche WHEN 1 THEN 'Docteur Jean INVENTÉ' WHEN 2 THEN CASE WHEN piece_id % 2 = 0 THEN 'TARKAN Selim' ELSE 'Gauthier Gilles' END ELSE 'Yanis DERRADJI' END AS nom
+   FROM (SELECT dossier_id, piece_id FROM cf_page_pieces WHERE page = piece_id) p, (VALUES (1), (2), (3), (4)) t(tranche)),
 o_v AS (SELECT q.*, CASE WHEN nom = 'TARKAN Selim' THEN (SELECT min(x.nom) FROM cf_persons x WHERE x.dossier_id = q.dossier_id AND x.nom = 'Selim TARKAN')
    WHEN nom = 'Yanis DERRADJI' THEN coalesce((SELECT min(x.nom) FROM cf_persons x WHERE x.dossier_id = q.dossier_id AND x.nom = 'Yanis DERRADJI'),
-     CASE WHEN EXISTS (SELECT 1 FROM cf_pages g WHERE g.dossier_id = q.dossier_id AND g.numero_global IN (q.piece_id, CASE WHEN q.piece_id = 3 THEN 4 END) AND contains(lower(g.texte), 'yanis derradji')) THEN 'Yanis DERRADJI' 
-          WHEN (SELECT bool_or(regexp_matches(lower(g.texte), '\byanis\b')) AND bool_or(regexp_matches(lower(g.texte), '\bderradji\b')) FROM cf_pages g WHERE g.dossier_id = q.dossier_id AND g.numero_global IN (q.piece_id, CASE WHEN q.piece_id = 3 THEN 4 END)) THEN 'Yanis DERRADJI' END)
-   WHEN nom = 'Gauthier Gilles' AND (SELECT bool_or(regexp_matches(lower(g.texte), '\bgauthier\b')) AND bool_or(regexp_matches(lower(g.texte), '\bgilles\b')) FROM cf_pages g WHERE g.dossier_id = q.dossier_id AND g.numero_global IN (q.piece_id, CASE WHEN q.piece_id = 3 THEN 4 END)) THEN nom END AS garde FROM o_q q WHERE tranche <= 3)
+     CASE WHEN EXISTS (SELECT 1 FROM o_t g WHERE g.dossier_id = q.dossier_id AND g.piece_id = q.piece_id AND contains(lower(g.texte), 'yanis derradji')) THEN 'Yanis DERRADJI' 
+          WHEN (SELECT bool_or(regexp_matches(lower(g.texte), '\byanis\b')) AND bool_or(regexp_matches(lower(g.texte), '\bderradji\b')) FROM o_t g WHERE g.dossier_id = q.dossier_id AND g.piece_id = q.piece_id) THEN 'Yanis DERRADJI' END)
+   WHEN nom = 'Gauthier Gilles' AND (SELECT bool_or(regexp_matches(lower(g.texte), '\bgauthier\b')) AND bool_or(regexp_matches(lower(g.texte), '\bgilles\b')) FROM o_t g WHERE g.dossier_id = q.dossier_id AND g.piece_id = q.piece_id) THEN nom END AS garde FROM o_q q)
 SELECT dossier_id, CAST(piece_id AS INT) AS piece_id, arg_min(garde, tranche) AS nom, 'mis_en_cause' AS role FROM o_v WHERE garde IS NOT NULL GROUP BY ALL""")
 def person_proposals_guard(d):
-    pages = linked(d).filter("piece_id in (2, 3)")
+    pages = linked(d)
     asked = pages.filter("ouvre").select("dossier_id", "piece_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("tranche"))
     name = (F.when(F.col("tranche") == 1, "Docteur Jean INVENTÉ")
             .when((F.col("tranche") == 2) & (F.col("piece_id") % 2 == 0), "TARKAN Selim").when(F.col("tranche") == 2, "Gauthier Gilles")

@@ -63,14 +63,13 @@ def piece_type_rules(d):
 
 
 @query("type_proposals", views=("pieces",), sql="""
-, o_c AS (SELECT dossier_id, piece_id, type, CAST(confiance AS DOUBLE) AS confiance, CASE piece_id WHEN 17 THEN CASE page_debut % 2 WHEN 1 THEN
-   CASE WHEN CAST(substr(dossier_id, 13, 1) AS INT) % 3 = 0 THEN 'Facture' WHEN CAST(substr(dossier_id, 13, 1) AS INT) % 3 = 1 THEN 'Roman' END END END AS propose FROM cf_pieces)
+, o_c AS (SELECT dossier_id, piece_id, type, CAST(confiance AS DOUBLE) AS confiance, CASE WHEN CAST(substr(dossier_id, 13, 1) AS INT) % 3 = 0 THEN 'Facture' WHEN CAST(substr(dossier_id, 13, 1) AS INT) % 3 = 1 THEN 'Roman' END AS propose FROM cf_pieces)
 SELECT dossier_id, piece_id, CASE WHEN type = 'Non identifié' AND propose = 'Facture' THEN 'Facture' ELSE type END AS type,
   CASE WHEN type = 'Non identifié' AND propose = 'Facture' THEN 0.9 ELSE confiance END AS confiance,
   CASE WHEN type = 'Non identifié' AND propose = 'Facture' THEN 'ok' WHEN type = 'Non identifié' OR confiance < 0.7 THEN 'a_relire' ELSE 'ok' END AS statut_revision FROM o_c""")
 def type_proposals(d):
     digit = F.substring("dossier_id", 13, 1).cast("int") % 3
-    proposals = d.pieces.filter("piece_id = 17").select(
+    proposals = d.pieces.select(
         "dossier_id", "piece_id", F.when(digit == 0, "Facture").when(digit == 1, "Roman").alias("type"), F.lit(0.9).alias("confiance"))
     return g.accept_types(d.pieces, proposals).select("dossier_id", "piece_id", "type", F.col("confiance").cast("double").alias("confiance"), "statut_revision")
 
