@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text, vocab as v
 from ..functions.scale import cut_lineage
-from ..operators import custody as c, extraction as x, filters as f, findings as r, guards as g, retrieval as q, reports as rp, segmentation as sg
+from ..operators import custody as c, extraction as x, filters as f, findings as r, guards as g, retrieval as q, reports as rp, segmentation as sg, statements as st
+from ..operators.persons import personality, tagged_persons
 from ..sources import sinks, pages as s
 from ..streaming import jobs
+from .check_queries import rule_rows
 from .custody_queries import CUSTODY_CTE, custodies, with_details
 from .person_queries import linked
 from .registry import Views, query
@@ -287,28 +291,54 @@ def case_status_list(d):
 
 # --- sinks -------------------------------------------------------------------
 
-def deliverables(d: Views):
-    pieces = sg.piece_index(d.pieces).withColumn("titre", F.lit(None).cast("string")).withColumn("statut_revision", sg.revision_status())
+def sections(d: Views) -> dict[str, tuple]:
+    """Every section of a case: its rows and their order."""
+    held, visible = custodies(d)
+    acts = with_details(d.acts)
+    found = cut_lineage(r.findings_custody(held, visible, d.act_pieces, acts).unionByName(r.findings_acts(held, visible)).unionByName(
+        r.findings_case(acts, d.act_pieces, d.pages.withColumn("piece_id", F.col("numero_global")))))
+    rules = cut_lineage(rule_rows(d))
     names = d.persons.select("dossier_id", "personne_id", F.col("nom").alias("personne"))
-    acts = c.act_chronology(d.acts).join(names, ["dossier_id", "personne_id"], "left")
-    return sinks.deliverable_tables({"index": pieces, "acts": acts, "custodies": custodies(d)[0], "facts": c.fact_chronology(d.faits, d.act_pieces, d.persons)})
+    told = d.declarations.filter("statut_verif = 'verifie'").join(names, ["dossier_id", "personne_id"], "left")
+    index = sg.piece_index(d.pieces).withColumn("titre", F.lit(None).cast("string")).withColumn("statut_revision", sg.revision_status())
+    return {
+        "personnes": (d.persons.withColumn("ordre", F.concat(F.when(F.col("est_client"), "0").otherwise("1"), "role", "nom")), ["ordre"]),
+        "chronologie_procedure": (c.act_chronology(d.acts.filter("statut_verif = 'verifie'")).join(names, ["dossier_id", "personne_id"], "left"), ["ordre"]),
+        "chronologie_faits": (c.fact_chronology(d.faits, d.act_pieces, d.persons), ["ordre"]),
+        "gardes_a_vue": (held, ["gardien"]), "signalements": (found, ["regle", "page", "titre"]), "declarations": (told, ["page", "declaration_id"]),
+        "divergences": (st.divergences(d.declarations), ["declaration_id_a", "declaration_id_b"]),
+        "confrontations": (st.confrontations(d.declarations, d.persons), ["point_factuel", "page", "declaration_id"]),
+        "contradictions": (rules, ["regle", "titre", "rang", "page"]),
+        "recoupements": (x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)), ["numero_global", "type", "cle"]),
+        "sources_des_pages": (f.page_source_map(s.pages_with_marks(d.pages), d.pieces), ["page"]), "index_pieces": (index, ["page_debut"])}
 
 
 @query("deliverable_tables")
 def deliverable_tables(d):
-    out = None
-    for name, df in deliverables(d).items():
-        one = df.select("dossier_id", F.lit(name).alias("livrable"), F.to_json(F.struct(*[x_ for x_ in df.columns if x_ != "dossier_id"])).alias("ligne"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The ten deliverables, a row each as JSON."""
+    of = {name: rows for name, (rows, _) in sections(d).items()}
+    suspects = tagged_persons(linked(d)).select("dossier_id", F.col("nom").alias("personne_id"), "nom", "role")
+    report = rp.control_report(s.pages_with_marks(d.pages), d.pieces, {"acts": with_details(d.acts)}, d.acts.filter("statut_verif = 'rejete'"), of["signalements"])
+    tables = sinks.deliverable_tables({
+        "index": of["index_pieces"], "acts": of["chronologie_procedure"], "custodies": of["gardes_a_vue"], "facts": of["chronologie_faits"], "statements": of["declarations"],
+        "divergences": of["divergences"], "personality": personality(suspects, d.pages, d.pieces), "findings": of["signalements"], "contradictions": of["contradictions"], "report": report})
+    rows = [df.select("dossier_id", F.lit(name).alias("livrable"), F.to_json(F.struct(*[x_ for x_ in df.columns if x_ != "dossier_id"])).alias("ligne")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("case_payload")
 def case_payload(d):
-    persons = d.persons.withColumn("ordre", F.concat(F.when(F.col("est_client"), "0").otherwise("1"), "role", "nom"))
-    return sinks.case_payload({
-        "personnes": (persons, ["ordre"]), "chronologie_procedure": (c.act_chronology(d.acts.filter("statut_verif = 'verifie'")), ["ordre"]),
-        "index_pieces": (d.pieces, ["page_debut"]), "recoupements": (x.identifier_mentions(f.procedure_pages(d.pages, d.pieces)), ["numero_global", "type", "cle"])})
+    """Every section of every case, in parts of a thousand rows."""
+    return sinks.case_payload(sections(d))
+
+
+@query("run_totals", views=("runs",), sql="""
+, o_r AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, etape ORDER BY run_id DESC, debut DESC, fin DESC, tokens_in DESC, tokens_out DESC, cout_usd DESC) AS rn FROM cf_runs)
+SELECT dossier_id, CAST(sum(epoch(fin) - epoch(debut)) AS BIGINT) AS duree_s, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cout_usd), 4) AS cout_usd
+FROM o_r WHERE rn = 1 GROUP BY dossier_id""")
+def run_totals(d):
+    """Seconds, tokens and cost of the latest run of every stage, added up."""
+    return rp.cost_totals(rp.run_costs(d.runs)).withColumn("cout_usd", F.round("cout_usd", 4))
 
 
 # --- streaming ---------------------------------------------------------------

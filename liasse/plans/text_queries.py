@@ -234,6 +234,17 @@ def ocr_hour_repair(d):
     return x.repair_hours(d.pages).select("dossier_id", "numero_global", "texte")
 
 
+@query("fused_pages", views=("documents",), sql=rf"""
+, o_p AS (SELECT *, CASE WHEN numero_global % 4 = 0 THEN '  ' ELSE substr(texte, 1, 12) END AS natif FROM cf_documents WHERE ocr_applique),
+o_r AS (SELECT *, regexp_replace(regexp_replace(texte, '(^|[^\p{{L}}\p{{N}}_])[€689Oo](\d)\s*h\s*(\d{{2}})($|[^\d])', '\10\2h\3\4', 'g'),
+  '(^|[^\p{{L}}\p{{N}}_])([01]?\d|2[0-3])[Ff]([0-5]\d)($|[^\d])', '\1\2h\3\4', 'g') AS relu FROM o_p)
+SELECT dossier_id, numero_global, CASE WHEN {strip_sql('natif')} = '' THEN relu ELSE {strip_sql('natif')} || chr(10) || relu END AS texte FROM o_r""")
+def fused_pages(d):
+    """Recognised pages: the little native text they bore, then the recognised one with its hours repaired."""
+    native = F.when(F.col("numero_global") % 4 == 0, F.lit("  ")).otherwise(F.substring("texte", 1, 12))
+    return d.documents.filter("ocr_applique").select("dossier_id", "numero_global", x.fused_text(native, F.col("texte")).alias("texte"))
+
+
 @query("cote_per_page", views=("pages",), ctes=MARK_CTE, sql="SELECT dossier_id, CAST(numero_global AS INT) AS numero_global, cote FROM o_marks")
 def cote_per_page(d):
     return x.cotes(d.pages)
