@@ -17,7 +17,10 @@ of both, and two registers are equal about as often as the sets' similarity says
    to the size of a bucket, and none of a linked group's pairs are listed.
 4. A pair's similarity is estimated from both sketches by maximum likelihood;
    pairs over five standard errors below the limit are no candidates.
-5. The others are verified on the full sets, and links joined to components.
+5. The others are verified on the full sets: classes with a candidate meet once
+   more in their bucket, each with its set, and only links leave it, so near
+   misses cost rows by their number, not by their pairs.  Links are joined to
+   components.
 
 Null ids take part; a component is named by its smallest id, null if it has
 none.  Rows that agree in id and text are each returned, with one result.  Only
@@ -33,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import write_checkpoint
+from .common import slices, write_checkpoint
 
 SHINGLE = 5
 REGISTERS = 256
@@ -43,6 +46,7 @@ RATE = 20.0
 FIRST_LEADERS, GROWTH = 2, 8
 CHUNK = 2048  # members that one block compares with leaders
 PERCENT = 85  # the limit of a link in op1's contract
+SLICE_ITEMS = 4_000_000  # shingles of the leaders that a task verifies members against
 MOST_SENT = 2_000_000
 WORDS_KEPT = 500_000  # words a task remembers; affects speed only
 
@@ -252,10 +256,13 @@ def _likely(rows: _Block, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[n
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """``one, two``: pairs of a leader and a later member of a bucket, not linked yet, whose estimate is near ``percent`` or over it.
+    """``bucket, chunk, slice, kind, comp, node``: the leaders (``kind`` 0) and members (1) that have a candidate pair in their block.
 
-    ``rows`` holds leaders (``kind`` 0) before members (1) of each bucket and
-    chunk.  A pair comes from its first common bucket only.
+    ``rows`` holds leaders before members of each bucket and chunk.  A candidate
+    pair is a leader and a later member, not linked yet, whose estimate is near
+    ``percent`` or over it; it comes from its first common bucket only.  Pairs
+    are not listed, so a group of n near misses gives some n rows a band.  The
+    leaders of a block are cut into slices of ``SLICE_ITEMS`` shingles.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Block | None = None  # leaders of the block that the batch before ended in
@@ -264,8 +271,10 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 rows = _Block(whole.slice(offset, 4096)).after(held)
                 edges = np.flatnonzero(np.append(True, (rows.bucket[1:] != rows.bucket[:-1]) | (rows.chunk[1:] != rows.chunk[:-1])))
                 ones, twos, pairs, waiting = [], [], 0, []
+                slice_of = np.zeros(len(rows.n), np.int64)
                 for start, end in zip(edges.tolist(), [*edges[1:].tolist(), len(rows.n)]):
                     middle = start + int((rows.kind[start:end] == 0).sum())
+                    slice_of[start:middle] = np.cumsum(rows.n[start:middle]) // SLICE_ITEMS
                     for lead in range(start, middle, 64):
                         few = np.arange(lead, min(lead + 64, middle))
                         waiting.append((np.repeat(few, end - middle), np.tile(np.arange(middle, end), len(few))))
@@ -281,29 +290,67 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 held = rows.part(last[rows.kind[last] == 0])
                 none = np.zeros(0, np.int64)
                 x, y = np.concatenate([*ones, none]), np.concatenate([*twos, none])
-                yield pa.RecordBatch.from_arrays([pa.array(rows.node[x].tolist(), pa.binary()), pa.array(rows.node[y].tolist(), pa.binary())], names=["one", "two"])
+                # Rows are once a slice here, however many candidates they have.
+                picked = np.unique(np.stack([np.concatenate([x, y]), np.tile(slice_of[x], 2)]), axis=1)
+                at = picked[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v) for v in (rows.bucket[at], rows.chunk[at], picked[1], rows.kind[at], rows.comp[at])] + [pa.array(rows.node[at].tolist(), pa.binary())],
+                    names=["bucket", "chunk", "slice", "kind", "comp", "node"])
 
     return rows.select("bucket", "chunk", "kind", "place", "comp", "node", "n", "sketch").repartition("bucket", "chunk").sortWithinPartitions(
-        "bucket", "chunk", "kind").mapInArrow(run, "one binary, two binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    one = _merged(pairs, sets.select(F.col("node").alias("one"), F.col("items").alias("a")), "one")
-    both = _merged(one, sets.select(F.col("node").alias("two"), F.col("items").alias("b")), "two")
+        "bucket", "chunk", "kind").mapInArrow(run, "bucket long, chunk long, slice long, kind int, comp long, node binary")
+
+
+def _links(leaders: dict[bytes, tuple[int, np.ndarray]], nodes: list[bytes], comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between leaders (name to component and set) and members, by their full sets; none between what they have linked already."""
+    own = [s for _, s in leaders.values()]
+    sizes, k = np.array([len(s) for s in sets], np.int64), len(own)
+    numbers = np.unique(np.concatenate([*own, *sets]), return_inverse=True)[1]
+    ends = np.cumsum([len(s) for s in own])
+    members, mark = numbers[ends[-1]:], np.zeros(int(numbers.max()) + 1, bool)
+    comp = np.concatenate([np.array([c for c, _ in leaders.values()], np.int64), comps])
+    out = []
+    for i, name in enumerate(leaders):
+        n = len(own[i])
+        still = (comp[k:] != comp[i]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+        at = np.flatnonzero(still)
+        if not len(at):
+            continue
+        items = numbers[ends[i] - n:ends[i]]
+        mark[items] = True
+        common = np.add.reduceat(mark[members[np.repeat(still, sizes)]], np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
+        mark[items] = False
+        good = at[100 * common >= percent * (n + sizes[at] - common)]
+        for j in good[np.unique(comp[k + good], return_index=True)[1]].tolist():
+            out.append((name, nodes[j]))
+            comp[comp == comp[k + j]] = comp[i]
+    return out
+
+
+def _verified(picked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``one, two``: links between the leaders and members of a slice of a block; each one's set comes there once."""
+    both = _merged(picked, sets, "node").select("bucket", "chunk", "slice", "kind", "comp", "node", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, leaders = None, {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                good = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    good.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    return both.select("one", "two", "a", "b").mapInArrow(run, "one binary, two binary")
+            for batch in slices(whole, 6, SLICE_ITEMS * 8):
+                keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+                kind, comp = (batch.column(c).to_numpy() for c in (3, 4))
+                node = batch.column(5).to_pylist()
+                items = [np.frombuffer(x, np.uint64) for x in batch.column(6).to_pylist()]
+                edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+                found = []
+                for start, end in zip(edges, [*edges[1:], len(keys)]):
+                    if keys[start] != block:
+                        block, leaders = keys[start], {}
+                    middle = start + int((kind[start:end] == 0).sum())
+                    leaders.update((node[r], (int(comp[r]), items[r])) for r in range(start, middle))
+                    if leaders and middle < end:
+                        found += _links(leaders, node[middle:end], comp[middle:end], items[middle:end], percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["one", "two"])
+
+    return both.repartition("bucket", "chunk", "slice").sortWithinPartitions("bucket", "chunk", "slice", "kind").mapInArrow(run, "one binary, two binary")
 
 
 def _joined_labels(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -338,8 +385,8 @@ def link_classes(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFra
         each = rows.withColumn("chunk", F.floor(F.col("place") / F.col("size") * chunks)).withColumn("kind", F.lit(1))
         lead = each.where(F.col("place") < done + count).withColumn("kind", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.col("chunk"), chunks - 1)))
         each, lead = each.drop("size"), lead.drop("size")
-        pairs = write_checkpoint(_candidates(_merged(each.unionByName(lead), sketches, "node"), percent))
-        found = write_checkpoint(_verified(pairs, sets, percent))
+        picked = _candidates(_merged(each.unionByName(lead), sketches, "node"), percent)
+        found = write_checkpoint(_verified(picked, sets, percent))
         links = found if links is None else links.unionByName(found)
         labels, _ = _joined_labels(labels, links)
         done, count = done + count, count * GROWTH

@@ -106,6 +106,34 @@ def test_large_bucket_in_chunks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == plain.components(rows)
 
 
+def near_misses(n):
+    """Texts of 400 words, each with some words of its own, so that any two have 78 to 85 % of their shingles in common."""
+    rng = random.Random(11)
+    base = [str(rng.randrange(10**6)) for _ in range(400)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.sample(range(400), 8):
+            w[p] = f"own{i}x{p}"
+        texts.append(" ".join(w))
+    return list(enumerate(texts))
+
+
+def test_near_misses_cost_rows_not_pairs(spark, monkeypatch):
+    rows, sizes = near_misses(150), []
+    picked = near_dedup._candidates
+    def counting(*given):
+        found = picked(*given)
+        sizes.append(found.count())
+        return found
+    monkeypatch.setattr(near_dedup, "_candidates", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == plain.components(rows)
+    assert sum(sizes) < 150 * near_dedup.bands_for(85)  # of 11,175 pairs
+    monkeypatch.setattr(near_dedup, "SLICE_ITEMS", 1000)  # slices of few leaders, members read in parts
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == plain.components(rows)
+
+
 def test_line_dedup(docs, documents):
     found = {r.row.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
     want = plain.without_repeated_lines(documents)
