@@ -101,6 +101,13 @@ def test_hours_in(one):
     assert one(list(cases), hours_in(F.col("texte"))) == list(cases.values())
 
 
+def test_wording_problems_name_all_absent_elements(spark):
+    dates = [f"{d:02d}/03/2031" for d in range(1, 15)]
+    df = spark.createDataFrame([(" puis ".join(dates),)], "t string")
+    every, few = (df.select(F.array_join(g.wording_problems(F.col("t"), F.lit("rien"), n), ";").alias("x")).first()["x"] for n in (None, 3))
+    assert every.count(", ") >= 13 and few.count(", ") == 2
+
+
 def test_wording_problems(spark):
     rows = [("La procédure est irrégulière.", "qualification"), ("Il ment.", "jugement"), ("Voir [nom].", "crochets"), ("Il vient [...] ici.", ""),
             ("Vu entre mars 2031 et mars 2031.", "bornes"), ("Mention de la suite.", "")]
