@@ -165,3 +165,36 @@ def test_unit_at_equals_a_loop(spark):
             at += len(line)
         if r.p <= len(r.t):
             assert r.u == got
+
+
+def test_legibility_searches_a_page_before_its_words(spark):
+    """Every share of words against a loop; a page without a trace of a fault is not searched word by word."""
+    import re
+
+    import pytest
+
+    from liasse.functions import vocab as v
+    from liasse.operators import extraction as x
+
+    low, up = v.MINUSCULES_LATINES, v.MAJUSCULES_LATINES
+    odd = ["«aB»", "(x#y)", "bcd-", "'k'", "a1b", "nstr", "rxkrtv", "...", "1234", "été", "dŒt", "—", "A", "(Z)", "bc\xa0d", "\"mot\"", "l'eau", "-to-"]
+    texts = ["un mot clair " * 12, " ".join(odd), " \n ".join(odd * 3), "mot " * 30 + "aB", "court", "", None]
+
+    def loop(t):
+        if t is None:
+            return 1.0
+        bare = [re.sub(rf"^[{v.PONCTUATION_BORD}]+|[{v.PONCTUATION_BORD}]+$", "", w) for w in t.split()]
+        words = [w for w in bare if re.search(f"[{up}{low}]", w)]
+        if len(words) < v.MOTS_MINIMUM:
+            return 0.0
+        four = f"[{v.CONSONNES}]{{4}}"
+        tests = [(3, lambda w: re.search(f"[{low}][{up}]", w)), (5, lambda w: re.search(f"[{v.PARASITES}]", w)),
+                 (4, lambda w: len(re.sub(f"[^{up}{low}]", "", w)) >= 3 and not re.search(f"[{v.VOYELLES}]", w)),
+                 (4, lambda w: len(w) == 1 and w.lower() not in v.LETTRES_ISOLEES),
+                 (5, lambda w: re.search(f"[{up}{low}][0-9]+[{up}{low}]", w)),
+                 (4, lambda w: re.search(four, w) and re.search(four, re.sub(v.GROUPES_LEGITIMES, "", w)))]
+        return min(1.0, sum(n * len([w for w in words if f(w)]) / len(words) for n, f in tests))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, texte string").select("i", x.legibility_score(F.col("texte")).alias("s"))
+    assert [r.s for r in rows.orderBy("i").collect()] == pytest.approx([loop(t) for t in texts])
+    assert len(re.findall(r"RLIKE\(texte|texte#\d+ RLIKE|texte RLIKE", rows._jdf.queryExecution().analyzed().toString())) >= 4
