@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..functions.scale import cut_lineage
 from ..operators import segmentation as g
 from .registry import Views, lines_sql, query, title_sql
 from .text_queries import LEGIBILITY_SQL, MARK_CTE, SCORE_SQL
@@ -86,7 +87,9 @@ SELECT dossier_id, CAST(min(page) AS INT) AS debut, CAST(max(page) AS INT) AS fi
 def consecutive_ranges(d):
     from ..operators.extraction import legibility
 
-    return g.consecutive_ranges(legibility(d.pages).filter("illisible").withColumnRenamed("numero_global", "page"))
+    # The ranges read their pages several times: these are scored once.
+    poor = legibility(d.pages).filter("illisible").select("dossier_id", F.col("numero_global").alias("page"))
+    return g.consecutive_ranges(cut_lineage(poor))
 
 
 @query("page_batches")

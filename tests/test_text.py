@@ -198,3 +198,15 @@ def test_legibility_searches_a_page_before_its_words(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, texte string").select("i", x.legibility_score(F.col("texte")).alias("s"))
     assert [r.s for r in rows.orderBy("i").collect()] == pytest.approx([loop(t) for t in texts])
     assert len(re.findall(r"RLIKE\(texte|texte#\d+ RLIKE|texte RLIKE", rows._jdf.queryExecution().analyzed().toString())) >= 4
+
+
+def test_illegible_pages_are_scored_once(spark):
+    """Ranges read their pages several times; none of these reads scores a text again."""
+    from liasse.operators import reports as rp
+
+    poor = "xkrtv qzrtp nb1d3s @ srtgh vcxzm plqrs dŒt kRt bcdfg zrtpq w3x " * 5
+    pages = spark.createDataFrame([("A", i, i == 2, poor if i in (2, 3, 5) else "un texte clair " * 9) for i in range(1, 7)],
+                                  "dossier_id string, numero_global int, ocr_applique boolean, texte string")
+    found = rp.illegible_ranges(pages)
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert sorted((r.debut, r.fin, r.origine[:3]) for r in found.collect()) == [(2, 3, "OCR"), (5, 5, "cou")]
