@@ -141,5 +141,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     if cut.count() <= MOST_SENT:
         cut = F.broadcast(cut)
     i, t = F.col(doc_id), F.col(text)
-    rows = df.select(F.struct("*").alias("row"), t.alias("whole"), F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, i).alias("b"))
-    return rows.join(cut, ["a", "b"], "left").withColumn("new", _without("whole", "runs")).select("row", "new.*")
+    rows = df.select(F.struct("*").alias("row"), F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, i).alias("b")).join(cut, ["a", "b"], "left")
+    # Most texts lose nothing: only those that do are held once more, by a worker.
+    whole, cut_here = F.col("row").getField(text), F.col("runs").isNotNull()
+    n_lines = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    return rows.withColumn("new", _without(F.when(cut_here, whole), F.col("runs"))).select(
+        "row", F.when(cut_here, F.col("new.text")).otherwise(whole).alias("text"), F.when(cut_here, F.col("new.n_lines")).otherwise(n_lines).alias("n_lines"),
+        F.col("new.n_removed").alias("n_removed"))

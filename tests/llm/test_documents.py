@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
@@ -141,6 +142,23 @@ def test_line_dedup(docs, documents):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_hands_workers_only_texts_that_lose_lines(spark, monkeypatch):
+    run = "\n".join(f"ligne {i} " + "mot " * 6 for i in range(9))
+    rows = [(1, run + "\nfin"), (2, run + "\nautre"), (3, "seul\n"), (4, ""), (5, None), (6, "a\n\nb")]
+    seen, inner = spark.sparkContext.accumulator(0), line_dedup._without
+
+    @F.udf("string")
+    def counted(text):
+        if text is not None:
+            seen.add(1)
+        return text
+
+    monkeypatch.setattr(line_dedup, "_without", lambda whole, runs: inner(counted(whole), runs))
+    found = {r.row.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (run + "\nfin", 10, 0), 2: ("autre", 10, 9), 3: ("seul\n", 2, 0), 4: ("", 1, 0), 5: (None, 0, 0), 6: ("a\n\nb", 3, 0)}
+    assert seen.value == 1
+
+
 def test_line_dedup_runs_of_short_lines(spark):
     rng = random.Random(2)
     run = [f"w{i}" for i in range(60)]
