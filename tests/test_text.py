@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from liasse.functions import dates, text
-from liasse.functions.elements import absent_elements, hours_in
+from liasse.functions.elements import absent_elements, hours_in, reference_keys
 from liasse.operators import extraction as x, guards as g, persons as p, segmentation as s, statements as st
 
 
@@ -95,6 +95,16 @@ def test_absent_elements(spark):
         assert set(found) == set(expected), said
 
 
+def test_reference_is_read_for_the_kinds_asked_for_only(spark):
+    said = "À 22 heures, une vingtaine de minutes, Paul DURAND parle de violences."
+    df = spark.createDataFrame([(said, ["w:paul", "w:luc"]), (said, ["h:22:0", "t:0"]), (said, ["n:20"]), (said, []), (None, ["t:0"])], "r string, asked array<string>")
+    rows = df.select("asked", reference_keys(F.col("r"), F.col("asked")).alias("some"), reference_keys(F.col("r")).alias("every")).collect()
+    for row in rows[:4]:
+        assert set(row["some"]) & set(row["asked"]) == set(row["every"]) & set(row["asked"])
+    assert {k[:2] for k in rows[0]["some"]} == {"w:"} and {k[:2] for k in rows[1]["some"]} == {"h:", "t:"}
+    assert {k[:2] for k in rows[2]["some"]} == {"n:"} and rows[3]["some"] == [] and rows[4]["some"] is None
+
+
 def test_hours_in(one):
     cases = {"à 07h50": ["7:50"], "7 h 50": ["7:50"], "à sept heures cinquante": ["7:50"], "vingt-deux heures et demie": ["22:30"],
              "à deux heures différentes": [], "entre deux et trois heures": ["3:0"], "quatre-vingt-dix-huit heures": ["98:0"], "une heure": ["1:0"]}
