@@ -105,6 +105,16 @@ def test_reference_is_read_for_the_kinds_asked_for_only(spark):
     assert {k[:2] for k in rows[2]["some"]} == {"n:"} and rows[3]["some"] == [] and rows[4]["some"] is None
 
 
+def test_absent_from_with_few_and_with_many_elements(spark):
+    texts = spark.createDataFrame([("a", 1, "Vu par Paul DURAND à 21h00."), ("a", 1, "Il parle de violences."), ("b", 2, "Vu à 22h00."), (None, 3, "Vu à 23h00."), ("c", 4, None)],
+                                  "dossier_id string, fait_id int, texte string")
+    pages = spark.createDataFrame([("a", "M. Durand est venu."), ("a", "À vingt et une heures."), ("b", None), ("b", "22 heures"), (None, "23 heures")], "dossier_id string, texte string")
+    got = [sorted(tuple(r) for r in g.absent_from(texts, pages, ["dossier_id"], ["dossier_id", "fait_id"], most).select("fait_id", "cle").collect()) for most in (0, 2, 200)]
+    assert got[0] == got[1] == got[2]
+    assert {"t:0", "w:paul"} <= {k for i, k in got[0] if i == 1} and not {"w:durand", "h:21:0"} & {k for _, k in got[0]}
+    assert (3, "h:23:0") in got[0] and (2, "h:22:0") not in got[0]
+
+
 def test_hours_in(one):
     cases = {"à 07h50": ["7:50"], "7 h 50": ["7:50"], "à sept heures cinquante": ["7:50"], "vingt-deux heures et demie": ["22:30"],
              "à deux heures différentes": [], "entre deux et trois heures": ["3:0"], "quatre-vingt-dix-huit heures": ["98:0"], "une heure": ["1:0"]}
