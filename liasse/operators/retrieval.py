@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text, vocab as v
-from ..functions.scale import BLOCK, cut_lineage, ordered_rank, ordered_scan
+from ..functions.scale import BLOCK, cut_lineage, ordered_rank, ordered_scan, spread
+from ..functions.search import in_blocks
 from .guards import absent_from, single_version
 from .verification import verify
 
@@ -69,19 +74,140 @@ def stems(c: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*v.MOTS_VIDES)), lambda w: F.substring(w, 1, v.LONGUEUR_RACINE)))
 
 
+# Questions and pages of a case that meet in one task.
+QUESTIONS_AT_ONCE, PAGES_AT_ONCE = 1000, 2000
+# Scores that differ by less may be in either order once they are rounded.
+ROUNDING = 2e-6
+
+
 def relevance(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Score of each page for each question of its case: rare shared stems weigh more.
+    """Score of each page for each question of its case: rare shared stems weigh more."""
+    return _scores(questions, pages).select("dossier_id", "question_id", "numero_global", F.round("score", 6).alias("score"))
+
+
+def _scores(questions: DataFrame, pages: DataFrame, budget: int | None = None) -> DataFrame:
+    """(dossier_id, question_id, numero_global, score, taille): a row per question and page with a common stem.
 
-    Only the stems some question of the case holds are indexed.
+    Blocks of a case's questions meet blocks of its pages, each with its stems, and scores are
+    summed there: nothing is written per stem and pair.  With ``budget`` only pages that may be
+    among those taken come back, with their length: before a page that is taken, all better ones
+    that are no longer than it are taken too, so their lengths and its own fit the budget.
     """
     asked = questions.select("dossier_id", "question_id", F.explode(stems(F.col("question"))).alias("racine"))
-    wanted = asked.select("dossier_id", "racine").distinct()
-    index = pages.select("dossier_id", "numero_global", F.explode(stems(F.col("texte"))).alias("racine")).join(wanted, ["dossier_id", "racine"], "left_semi")
+    # Each text is read once; its stems are counted, dealt to blocks and scored.
+    read = cut_lineage(pages.select("dossier_id", "numero_global", F.length("texte").alias("taille"), stems(F.col("texte")).alias("racines"))).where("size(racines) > 0")
     total = pages.groupBy("dossier_id").agg(F.count(F.lit(1)).alias("__n"))
-    weights = index.groupBy("dossier_id", "racine").agg(F.count(F.lit(1)).alias("__df")).join(total, "dossier_id").select(
-        "dossier_id", "racine", (F.log((F.col("__n") + 1) / (F.col("__df") + 1)) + 1).alias("poids"))
-    return index.join(asked.join(weights, ["dossier_id", "racine"]), ["dossier_id", "racine"]).groupBy("dossier_id", "question_id", "numero_global").agg(
-        F.round(F.sum("poids"), 6).alias("score"))
+    seen = read.select("dossier_id", F.explode("racines").alias("racine")).groupBy("dossier_id", "racine").agg(F.count(F.lit(1)).alias("__df"))
+    weights = seen.join(total, "dossier_id").select("dossier_id", "racine", (F.log((F.col("__n") + 1) / (F.col("__df") + 1)) + 1).alias("poids"))
+    weighed = cut_lineage(asked.join(weights, ["dossier_id", "racine"]).groupBy("dossier_id", "question_id").agg(F.collect_list(F.struct("racine", "poids")).alias("x")))
+
+    left = in_blocks(weighed, QUESTIONS_AT_ONCE, "bloc_q", F.col("question_id"))
+    right = in_blocks(read, PAGES_AT_ONCE, "bloc_p", F.col("numero_global"))
+    each_q, each_p = left.select("dossier_id", "bloc_q").distinct(), right.select("dossier_id", "bloc_p").distinct()
+    blocks = ["dossier_id", "bloc_q", "bloc_p"]
+    no = F.lit(None)
+    page, question = pages.schema["numero_global"].dataType, questions.schema["question_id"].dataType
+    asking = left.join(each_p, "dossier_id").select(
+        *blocks, F.lit(0).alias("sorte"), "question_id", no.cast(page).alias("numero_global"), no.cast("int").alias("taille"),
+        F.transform("x", lambda e: e["racine"]).alias("racines"), F.transform("x", lambda e: e["poids"]).alias("poids"))
+    told = right.join(each_q, "dossier_id").select(
+        *blocks, F.lit(1).alias("sorte"), no.cast(question).alias("question_id"), "numero_global", "taille", "racines", no.cast("array<double>").alias("poids"))
+    both = spread(asking.unionByName(told), *blocks).sortWithinPartitions(*blocks, "sorte", "question_id", "numero_global")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                for case, q, p, kind, question_id, number, size, words, weights in zip(*(c.to_pylist() for c in whole.slice(start, 256).columns)):
+                    if block is None or block.key != (case, q, p):
+                        if block is not None:
+                            yield from block.rows(budget)
+                        block = _Meeting((case, q, p), (whole.schema.field(4).type, whole.schema.field(5).type))
+                    if kind == 0:
+                        block.ask(question_id, words, weights)
+                    else:
+                        block.tell(number, size, words)
+        if block is not None:
+            yield from block.rows(budget)
+
+    kinds = f"question_id {question.simpleString()}, numero_global {page.simpleString()}"
+    return both.mapInArrow(run, f"dossier_id string, {kinds}, score double, taille int")
+
+
+class _Meeting:
+    """A block of questions and a block of pages of one case."""
+
+    def __init__(self, key: tuple, kinds: tuple) -> None:
+        self.key, self.kinds, self.questions, self.held = key, kinds, [], {}
+        self.pages: list = []
+        self.sizes: list[list[int | None]] = []
+        self.scores: list[np.ndarray] = []
+
+    def ask(self, question, words: list[str], weights: list[float]) -> None:
+        for word, weight in zip(words, weights):
+            at, of = self.held.setdefault(word, ([], []))
+            at.append(len(self.questions))
+            of.append(weight)
+        self.questions.append(question)
+
+    def tell(self, page, size: int, words: list[str]) -> None:
+        if not self.scores:
+            self.held = {w: (np.array(at, np.int64), np.array(of)) for w, (at, of) in self.held.items()}
+        found = [self.held[w] for w in words if w in self.held]
+        n = len(self.questions)
+        score = np.bincount(np.concatenate([a for a, _ in found]), np.concatenate([w for _, w in found]), n) if found else np.zeros(n)
+        if self.pages and self.pages[-1] == page:  # rows of one page come one after the other
+            self.scores[-1] = self.scores[-1] + score
+            self.sizes[-1].append(size)
+        else:
+            self.pages.append(page)
+            self.sizes.append([size])
+            self.scores.append(score)
+
+    def rows(self, budget: int | None) -> Iterator[pa.RecordBatch]:
+        if not self.scores:
+            return
+        scores = np.array(self.scores)
+        if budget is None:
+            number, size = np.arange(len(scores)), None
+            keep = scores > 0
+        else:
+            fit = [(i, s) for i, sizes in enumerate(self.sizes) for s in sizes if s is not None and s <= budget]
+            if not fit:
+                return
+            number, size = (np.array(column, np.int64) for column in zip(*fit))
+            scores = scores[number]
+            keep = (scores > 0) & _may_fit(scores, size, budget)
+        questions, pages = (pa.array(ids, kind) for ids, kind in zip((self.questions, self.pages), self.kinds))
+        for start in range(0, len(scores), 128):
+            at, q = np.nonzero(keep[start:start + 128])
+            at = at + start
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.key[0]] * len(at), pa.string()), questions.take(pa.array(q)), pages.take(pa.array(number[at])), pa.array(scores[at, q]),
+                 pa.nulls(len(at), pa.int32()) if size is None else pa.array(size[at], pa.int32())],
+                names=["dossier_id", "question_id", "numero_global", "score", "taille"])
+
+
+def _may_fit(scores: np.ndarray, size: np.ndarray, budget: int) -> np.ndarray:
+    """For pages (rows) and questions (columns): whether the better pages that are no longer than a page fit the budget with it.
+
+    Lengths are compared with up to 32 steps, which sums up fewer pages, never more.
+    """
+    order = np.argsort(-scores, axis=0, kind="stable")
+    ranked, long = np.take_along_axis(scores, order, 0), size[order]
+    place = np.arange(len(scores))[:, None]
+    gap = np.vstack([np.full((1, scores.shape[1]), True), ranked[:-1] - ranked[1:] > ROUNDING])
+    first = np.maximum.accumulate(np.where(gap, place, 0), axis=0)  # pages before this place are better for certain
+    steps = np.unique(np.quantile(size, np.linspace(0, 1, 32), method="lower"))
+    step = np.searchsorted(steps, size, "right")[order] - 1
+    fits = np.ones(scores.shape, bool)
+    for i, most in enumerate(steps.tolist()):
+        before = np.cumsum(np.where(long <= most, long, 0), axis=0)
+        before = np.vstack([np.zeros((1, scores.shape[1]), before.dtype), before])
+        fits &= (step != i) | (np.take_along_axis(before, first, 0) + long <= budget)
+    out = np.empty_like(fits)
+    np.put_along_axis(out, order, fits, 0)
+    return out
 
 
 def relevant_pages(questions: DataFrame, pages: DataFrame, budget: int = v.BUDGET_QUESTION) -> DataFrame:
@@ -98,8 +224,8 @@ def relevant_pages(questions: DataFrame, pages: DataFrame, budget: int = v.BUDGE
     whole = asked.join(small.select("dossier_id"), "dossier_id").join(sizes, "dossier_id").select("dossier_id", "question_id", "numero_global")
     large = questions.join(small, "dossier_id", "left_anti")
     key = ["dossier_id", "question_id"]
-    scored = relevance(large, pages.join(small, "dossier_id", "left_anti")).filter("score > 0").join(sizes, ["dossier_id", "numero_global"])
-    waiting = cut_lineage(scored.filter(F.col("taille") <= budget).withColumn("reste", F.lit(budget)))
+    scored = _scores(large, pages.join(small, "dossier_id", "left_anti"), budget).withColumn("score", F.round("score", 6)).filter("score > 0")
+    waiting = cut_lineage(scored.withColumn("reste", F.lit(budget)))
     taken = None
     while not waiting.isEmpty():
         summed = cut_lineage(_prefix_sums(waiting, key))

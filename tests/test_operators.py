@@ -1,5 +1,6 @@
 """Operators on small tables, and scalable plans against brute force."""
 
+import math
 import random
 import tempfile
 
@@ -316,3 +317,29 @@ def test_turns_on_pages_of_many_lines(spark):
                                   "dossier_id string, piece_id int, numero_global int, texte string")
     pairs = {(x_["page"], x_["citation"]) for x_ in st.qa_pairs(pages).collect()}
     assert pairs == {(1, "Ici."), (2, "Hier.")}
+
+
+def test_only_pages_that_may_fit_are_ranked(spark):
+    rng = random.Random(9)
+    docs = {n: " ".join(rng.choice(["clio", "voiture", "garage", "porte", "route"]) + str(rng.randrange(3)) for _ in range(rng.randrange(3, 40))) for n in range(300)}
+    df = pages(spark, docs).unionByName(pages(spark, {7: docs[7]}))  # a page that comes twice counts twice
+    questions = spark.createDataFrame([("A", i, docs[i]) for i in range(0, 300, 50)], "dossier_id string, question_id int, question string")
+    every = {(r_["question_id"], r_["numero_global"]): r_["score"] for r_ in q._scores(questions, df).collect()}
+    few = q._scores(questions, df, 600).collect()
+    assert len({(r_["question_id"], r_["numero_global"]) for r_ in few}) < len(every) / 2
+    stems_of = {n: {w[:7] for w in t.split()} for n, t in docs.items()}
+    seen = {w: sum((2 if n == 7 else 1) * (w in s) for n, s in stems_of.items()) for s_ in stems_of.values() for w in s_}
+    for (i, n), score in every.items():
+        expected = sum(math.log(302 / (seen[w] + 1)) + 1 for w in stems_of[i] & stems_of[n]) * (2 if n == 7 else 1)
+        assert abs(score - expected) < 1e-9
+    got: dict[int, list[int]] = {}
+    for r_ in q.relevant_pages(questions, df, 600).collect():
+        got.setdefault(r_["question_id"], []).append(r_["numero_global"])
+    for i in range(0, 300, 50):
+        left, expected = 600, []
+        for score, n in sorted((-round(s, 6), n) for (j, n), s in every.items() if j == i):
+            for _ in range(2 if n == 7 else 1):
+                if len(docs[n]) <= left:
+                    expected.append(n)
+                    left -= len(docs[n])
+        assert sorted(got[i]) == sorted(expected)
