@@ -343,3 +343,35 @@ def test_only_pages_that_may_fit_are_ranked(spark):
                     expected.append(n)
                     left -= len(docs[n])
         assert sorted(got[i]) == sorted(expected)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_read_once(spark):
+    from liasse.operators import acts as a
+
+    df = pages(spark, {1: "PROCÈS-VERBAL DE SAISINE\nAppelé au 06 12 34 77 66.", 2: "Suite. Rappelé au 06 12 34 77 65."}).withColumn("ouvre", F.lit(True))
+    cut = s.segment(df)
+    assert "RLIKE" not in _plan(cut) and cut.count() == 2
+    linked = s.attach_pieces(df.drop("ouvre"), cut)
+    assert "RLIKE" not in _plan(p.tagged_persons(linked))
+    near = k.near_identifiers(x.identifier_mentions(df), df)
+    assert "regexp" not in _plan(near).lower() and near.count() == 1
+    found = spark.range(3).select(F.lit("A").alias("dossier_id"), F.lit(1).alias("piece_id"), F.expr("CAST(regexp_replace(CAST(2 - id AS STRING), 'x', '') AS INT)").alias("rang"))
+    ranked = a.numbered_acts(found)
+    assert "regexp" not in _plan(ranked).lower() and sorted(r_["acte_id"] for r_ in ranked.collect()) == [1, 2, 3]
+    payload = sinks.case_payload({"faits": (found, ["rang"])})
+    assert "regexp" not in _plan(payload).lower() and payload.collect()[0]["contenu"].startswith('[{"piece_id":1,"rang":0}')
+
+
+def test_mentions_are_read_before_pages_outside_the_procedure_go(spark):
+    from liasse.operators import filters as f
+
+    df = pages(spark, {n: f"Appelé au 06 12 34 77 6{n}." for n in range(4)})
+    pieces = spark.createDataFrame([("A", 1, 1, 2, v_) for v_ in ("Bordereau / inventaire des pièces", "Document de l'avocat (hors procédure)", "PV d'audition")],
+                                   "dossier_id string, piece_id int, page_debut int, page_fin int, type string")
+    kept = f.procedure_rows(x.identifier_mentions(df), pieces)
+    assert sorted(r_["numero_global"] for r_ in kept.collect()) == [0, 3]
+    assert _plan(kept).index("Join") < _plan(kept).index("regexp_extract_all")
