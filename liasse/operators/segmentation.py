@@ -45,7 +45,8 @@ def _boundary(lines: Column) -> list[Column]:
 def islands(flags: DataFrame) -> DataFrame:
     """``flags`` (dossier_id, numero_global, fichier_source, avocat, titre, and what else a page carries) with ``piece_id`` and ``ouvre``."""
     carried = [c for c in flags.columns if c not in (*KEY, "fichier_source", "avocat", "titre")]
-    flags = flags.withColumn("bloc", page_block())
+    # Rows meet the totals of their blocks below: the texts are read once, for both.
+    flags = cut_lineage(flags.withColumn("bloc", page_block()))
 
     def opens(before: Column, now: Column) -> Column:
         return (
