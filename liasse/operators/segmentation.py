@@ -59,6 +59,9 @@ def islands(flags: DataFrame) -> DataFrame:
     rows = flags.withColumn("page", me).withColumn("avant", F.lag(me).over(inside)).withColumn(
         "n", F.row_number().over(inside))
     rows = rows.withColumn("nouvelle", F.when(F.col("n") > 1, opens(F.col("avant"), F.col("page"))))
+    # Counted before the join, in the order that the page before was read in: rows of one number keep one order.
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("suivantes", F.sum(F.coalesce(F.col("nouvelle").cast("int"), F.lit(0))).over(upto))
     blocks = rows.groupBy("dossier_id", "bloc").agg(
         F.count_if("nouvelle").alias("ouvertes"), F.min_by("page", "numero_global").alias("tete"),
         F.max_by("page", "numero_global").alias("queue"),
@@ -71,9 +74,9 @@ def islands(flags: DataFrame) -> DataFrame:
             chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("avant_bloc"),
     )
     opened = F.coalesce("nouvelle", "tete_ouvre")
-    local = F.sum(F.col("ouvre").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    head = F.coalesce(F.col("tete_ouvre").cast("int"), F.lit(0))
     return rows.join(blocks, ["dossier_id", "bloc"]).withColumn("ouvre", opened).select(
-        *KEY, (F.col("avant_bloc") + local).cast("int").alias("piece_id"), "ouvre", *carried
+        *KEY, (F.col("avant_bloc") + head + F.col("suivantes")).cast("int").alias("piece_id"), "ouvre", *carried
     )
 
 
