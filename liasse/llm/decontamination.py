@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, whole_text
+from .common import bind, whole_text, write_checkpoint
 
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6))
 WINDOW = 20
@@ -101,7 +101,7 @@ def _hits(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any of the passages ``found`` in them."""
-    flagged = found.select("key").distinct()
-    if flagged.limit(MOST_FLAGGED + 1).count() <= MOST_FLAGGED:
+    flagged = write_checkpoint(found.select("key").distinct())  # the search runs once
+    if flagged.count() <= MOST_FLAGGED:
         flagged = F.broadcast(flagged)
     return docs.join(flagged, row_key(F.col(doc_id), F.col(text)) == flagged["key"], "left_anti")

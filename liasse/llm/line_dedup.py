@@ -134,6 +134,10 @@ def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
+# Else a filter on its results runs it once more below, in a worker of its own.
+_without = _without.asNondeterministic()
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``row`` (the input's columns), ``text`` without later copies of runs, ``n_lines`` and ``n_removed``."""
     copies = later_copies(line_rows(df, doc_id, text, least_words))

@@ -217,3 +217,19 @@ def test_decontamination_by_items_without_an_id(spark):
     found = decontamination.passages(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(0, None), (1, None), (2, 3)}
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, found).collect()] == [9]
+
+
+def test_decontamination_searches_once(spark):
+    rng = random.Random(18)
+    items = [(k, prose(rng, 25)) for k in range(3)]
+    docs = spark.createDataFrame([(k, prose(rng, 20) + " " + t) for k, t in items] + [(9, prose(rng, 60))], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(agreeing):
+        seen.add(1)
+        return True
+
+    found = decontamination.passages(docs, spark.createDataFrame(items, "item_id long, text string")).where(counted("agreeing"))
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, found).collect()] == [9]
+    assert seen.value == 3

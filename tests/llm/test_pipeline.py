@@ -81,3 +81,13 @@ def test_near_duplicates_from_80_percent(spark):
     smallest = plain.components(rows, 80)
     assert left == {i for i, _ in rows if smallest[i] == i} and len(left) == 16
     assert len(set(plain.components(rows).values())) == 24
+
+
+def test_lines_are_deleted_by_one_worker_a_task(spark):
+    rng = random.Random(33)
+    run = prose(rng, 60)
+    docs = spark.createDataFrame([(0, run), (1, run), (2, prose(rng, 20) + "\n" + run), (3, prose(rng, 30))], "doc_id long, text string")
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
