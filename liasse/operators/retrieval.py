@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text, vocab as v
 from ..functions.scale import BLOCK, cut_lineage, ordered_rank, ordered_scan, spread
 from ..functions.search import in_blocks
-from .guards import absent_from, single_version
+from .guards import absent_among, asserted, single_version
 from .verification import verify
 
 
@@ -252,21 +252,24 @@ def guard_answers(proposals: DataFrame, questions: DataFrame, pages: DataFrame,
     (page, citation)).  The second attempt replaces the first only if sourced.
     """
     key = ["dossier_id", "question_id", "essai"]
+    # Answers are met several times below; whatever their citations were cut from is read once.
+    proposals = cut_lineage(proposals.select(*key, text.strip(F.coalesce("reponse", F.lit(""))).alias("texte"), "citations"))
     quotes = proposals.select(*key, F.posexplode("citations").alias("rang", "c")).select(
         *key, "rang", "c.page", F.regexp_replace(text.strip(F.col("c.citation")), "^[\"“”]+|[\"“”]+$", "").alias("citation"))
     good = cut_lineage(verify(quotes, pages).filter("statut_verif = 'verifie'").select(*key, "rang", "page", "citation"))
     shown = good.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rang", "page", "citation"))), lambda x: F.struct(
         x["page"].alias("page"), x["citation"].alias("citation"))).alias("citations"))
-    answers = proposals.select(*key, text.strip(F.coalesce("reponse", F.lit(""))).alias("texte")).join(shown, key, "left")
-    # The reference of an answer: the pages it cites, its question, the names these complete.
-    cited = good.select(*key, "page").distinct().join(pages.select("dossier_id", F.col("numero_global").alias("page"), "texte"), ["dossier_id", "page"]).select(*key, "texte")
-    asked = proposals.select(*key).join(questions.select("dossier_id", "question_id", F.col("question").alias("texte")), ["dossier_id", "question_id"])
+    answers = proposals.select(*key, "texte").join(shown, key, "left")
+    # The reference of an answer: the pages it cites, its question, the names these complete; only answers that assert something have it read.
+    wanted = asserted(proposals.where("texte <> ''").select(*key, "texte"), key)
+    checked = wanted.select(*key).distinct()
+    cited = good.select(*key, "page").distinct().join(checked, key, "left_semi").join(pages.select("dossier_id", F.col("numero_global").alias("page"), "texte"), ["dossier_id", "page"]).select(*key, "texte")
+    asked = proposals.select(*key).join(checked, key, "left_semi").join(questions.select("dossier_id", "question_id", F.col("question").alias("texte")), ["dossier_id", "question_id"])
     sources = cited.unionByName(asked.select(*key, "texte"))
     parts = F.array_distinct(F.transform(text.all_found(F.col("texte"), r"(?U)\b\p{Lu}[\p{L}]{2,}"), lambda w: text.normalised(w)))
     named = persons.select("dossier_id", "nom", F.explode(F.filter(F.split(text.normalised(F.col("nom")), "[^a-z]+"), lambda p: F.length(p) >= 3)).alias("partie"))
     names = sources.select(*key, F.explode(parts).alias("partie")).join(named, ["dossier_id", "partie"]).select(*key, F.col("nom").alias("texte")).distinct()
-    written = answers.filter("texte <> ''")
-    invented = absent_from(written.select(*key, "texte"), sources.unionByName(names), key, key).select(*key).distinct().withColumn("invente", F.lit(True))
+    invented = absent_among(wanted, sources.unionByName(names), key).select(*key).distinct().withColumn("invente", F.lit(True))
     t = F.col("texte")
     bare = F.regexp_replace("texte", v.RE_COUPURE, "")
     judged = answers.join(invented, key, "left").withColumn("probleme", F.coalesce("invente", F.lit(False)) | t.rlike(v.RE_JUGEMENT) | bare.rlike(r"[\[\]]") | t.rlike(v.RE_PERIODE_VIDE))

@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from liasse.functions import vocab as v
 from liasse.functions.matching import best_window
 from liasse.functions.scale import ordered_rank, ordered_scan
 from liasse.operators import crosscheck as k, custody as c, extraction as x, findings as r, persons as p, retrieval as q, segmentation as s, statements as st, verification as w
@@ -375,3 +376,17 @@ def test_mentions_are_read_before_pages_outside_the_procedure_go(spark):
     kept = f.procedure_rows(x.identifier_mentions(df), pieces)
     assert sorted(r_["numero_global"] for r_ in kept.collect()) == [0, 3]
     assert _plan(kept).index("Join") < _plan(kept).index("regexp_extract_all")
+
+
+def test_only_answers_that_assert_something_have_their_sources_read(spark, monkeypatch):
+    seen = []
+    real = getattr(q, "absent_among", None)
+    monkeypatch.setattr(q, "absent_among", lambda wanted, references, key, *more: seen.append({r_.essai for r_ in references.collect()}) or real(wanted, references, key, *more), raising=False)
+    texts = pages(spark, {1: "Vu Paul DURAND à 21h00.", 2: "Rien."})
+    questions = spark.createDataFrame([("A", 1, "À quelle heure ?"), ("A", 2, "Qui ?")], "dossier_id string, question_id int, question string")
+    answers = spark.createDataFrame([("A", 1, 1, " À 21h00. ", [(1, "à 21h00")]), ("A", 1, 2, "C'est écrit.", [(1, "à 21h00")]), ("A", 2, 1, "Vu Luc.", [(2, "Rien")]), ("A", 2, 2, None, [(2, "absent")])],
+                                    "dossier_id string, question_id int, essai int, reponse string, citations array<struct<page:int,citation:string>>")
+    known = spark.createDataFrame([], "dossier_id string, libelle string, versions array<string>")
+    got = {r_.question_id: (r_.essai, r_.statut, r_.reponse) for r_ in q.guard_answers(answers, questions, texts, persons(spark, "Paul DURAND"), known).collect()}
+    assert got == {1: (2, "sourcee", "C'est écrit."), 2: (1, "passages", v.MESSAGE_PASSAGES)}
+    assert seen == [{1}]
