@@ -390,3 +390,17 @@ def test_only_answers_that_assert_something_have_their_sources_read(spark, monke
     got = {r_.question_id: (r_.essai, r_.statut, r_.reponse) for r_ in q.guard_answers(answers, questions, texts, persons(spark, "Paul DURAND"), known).collect()}
     assert got == {1: (2, "sourcee", "C'est écrit."), 2: (1, "passages", v.MESSAGE_PASSAGES)}
     assert seen == [{1}]
+
+
+def test_pages_of_cases_are_dealt_out_before_they_are_read(spark, monkeypatch):
+    from liasse.plans import case_plan
+
+    class Seen(Exception):
+        pass
+
+    def first(df):
+        raise Seen(df.checkpoint().rdd.getNumPartitions())
+
+    monkeypatch.setattr(case_plan, "cut_lineage", first)
+    with pytest.raises(Seen, match=spark.conf.get("spark.sql.shuffle.partitions")):
+        case_plan.read_cases(pages(spark, {1: "PROCÈS-VERBAL DE SAISINE", 2: "Suite."}))

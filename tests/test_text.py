@@ -1,10 +1,11 @@
 """Parsing tables: reference marks, hours, openings, sentences, guards."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from liasse.functions import dates, text
+from liasse.functions import dates, text, vocab as v
 from liasse.functions.elements import absent_elements, hours_in, reference_keys
 from liasse.operators import extraction as x, guards as g, persons as p, segmentation as s, statements as st
 
@@ -105,6 +106,14 @@ def test_reference_is_read_for_the_kinds_asked_for_only(spark):
     assert {k[:2] for k in rows[2]["some"]} == {"n:"} and rows[3]["some"] == [] and rows[4]["some"] is None
 
 
+def test_lines_that_do_not_begin_like_a_title(one):
+    lines = ["PROCÈS-VERBAL D'AUDITION", "|_ _PROCÈS-VERBAL", "  ~ AUDITION DE  Feuillet 2", "Procès-verbal D'AUDITION", "TITRE", "AUDITION Date : 3", "12/03/2031 ", "", "·ABCDEFGH·", "ABCDEFGh"]
+    plain = [bool(re.search(v.RE_TITRE.replace("(?U)", ""), re.sub(v.RE_SUFFIXE_COLONNE.replace("(?iU)", "(?i)"), "", x.strip().strip(v.PARASITES_BORD).strip()).strip())) for x in lines]
+    assert one(lines, text.is_title(F.col("texte"))) == plain and plain.count(True) == 5
+    begins = one(lines, F.col("texte").rlike(v.RE_DEBUT_TITRE))
+    assert all(b for b, title in zip(begins, plain) if title) and not begins[3] and not begins[4]
+
+
 def test_absent_from_with_few_and_with_many_elements(spark):
     texts = spark.createDataFrame([("a", 1, "Vu par Paul DURAND à 21h00."), ("a", 1, "Il parle de violences."), ("b", 2, "Vu à 22h00."), (None, 3, "Vu à 23h00."), ("c", 4, None)],
                                   "dossier_id string, fait_id int, texte string")
