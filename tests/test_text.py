@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from liasse.functions import dates, text, vocab as v
+from liasse.functions import dates, elements, text, vocab as v
 from liasse.functions.elements import absent_elements, hours_in, reference_keys
 from liasse.operators import extraction as x, guards as g, persons as p, segmentation as s, statements as st
 
@@ -106,6 +106,17 @@ def test_reference_is_read_for_the_kinds_asked_for_only(spark):
     assert {k[:2] for k in rows[2]["some"]} == {"n:"} and rows[3]["some"] == [] and rows[4]["some"] is None
 
 
+def test_words_and_terms_dealt_by_their_first_letters():
+    for word in v.NOMBRES_EN_LETTRES:
+        assert re.fullmatch(elements._WORD, word) and not re.match(elements._WORD, word + "x")
+    each, dealt = re.compile("|".join(v.TERMES_A_SOURCER)), re.compile(elements._ANY_TERM)
+    rng = random.Random(3)
+    said = ["violences", "vols", "volet", "envol", "larmes", "armes", "renvoi", "mis en examen", "mise en examen", "juge d'instruction", "deferement", "aveu", "laveu", "mandat d"]
+    for text_ in said + ["".join(rng.choice("acdeilmorstuv ") for _ in range(9)) for _ in range(3000)] + [a + b for a in said for b in said]:
+        assert bool(each.search(text_)) == bool(dealt.search(text_)), text_
+    assert elements._by_head(["ab", r"\bac", "b"]) == r"a(?:b|(?<=\ba)c)|b(?:)"
+
+
 def test_lines_that_do_not_begin_like_a_title(one):
     lines = ["PROCÈS-VERBAL D'AUDITION", "|_ _PROCÈS-VERBAL", "  ~ AUDITION DE  Feuillet 2", "Procès-verbal D'AUDITION", "TITRE", "AUDITION Date : 3", "12/03/2031 ", "", "·ABCDEFGH·", "ABCDEFGh"]
     plain = [bool(re.search(v.RE_TITRE.replace("(?U)", ""), re.sub(v.RE_SUFFIXE_COLONNE.replace("(?iU)", "(?i)"), "", x.strip().strip(v.PARASITES_BORD).strip()).strip())) for x in lines]
